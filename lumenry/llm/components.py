@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenry.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their count and a sum of their hashes, observed while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,19 +22,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     smaller neighbours and itself to the least. Both need only minima and joins, so a hot node is a skewed join, which
     Spark splits, and never a gathered group.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = _state(edges)
+    edges, before = _written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     for _ in range(most_rounds):
         if not before[0]:
             break
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
-        edges = joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(edges, "edges")
-        now = _state(edges)
+        stars = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stars.groupBy("u").agg(F.min("v").alias("m"))
+        # (u, v) becomes (v, m), and (u, m) comes from the edge with v = m itself
+        joined = stars.join(least, "u")
+        edges, now = _written(joined.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         if now == before:
             break
         before = now

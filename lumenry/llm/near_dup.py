@@ -233,7 +233,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = members.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = prune(stars.join(of_a, "a").join(of_b, "b"), threshold).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     links = materialize(verify(likely, texts, size, percent), "links")
-    labels = materialize(components(links), "labels")
+    # each node has one link to a smaller one at most; two steps along them label most of a component alike, which only
+    # spares comparisons
+    above = links.toDF("up", "a")
+    labels = links.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("component"))
 
     def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
         own = labels.select(F.col("node").alias(node), F.col("component").alias("_c"))
@@ -242,7 +245,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     apart = labelled(members.select("key", "doc_id", "size"), "doc_id", "comp")
     mixed = apart.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
     left = materialize(across(apart.join(mixed, "key", "left_semi").join(signs, "doc_id"), threshold).groupBy("a", "b", "ca", "cb").agg(F.max("matches").alias("matches")), "across")
-    if not left.isEmpty():
+    if left.isEmpty():
+        labels = materialize(components(links), "labels")
+    else:
         best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b")
         links = links.union(materialize(verify(best, texts, size, percent), "links"))
         labels = materialize(components(links), "labels")
