@@ -1,0 +1,327 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, and on odd rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lumenry.llm import bpe_verify, chat_repair, compress_quality, decontaminate, html_text, language_id, line_rules, near_dup, substring_dedup, token_codes
+from lumenry.llm.common import crc_of_id
+from lumenry.llm.components import components
+
+DATA = "/root/testdata/sf0.001"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [" ", "  ", "\n", "\t", "\x1c", "\xa0", "a", "É", "ß", "Σ", "İ", "'s", "'LL", "12", "½", "日本", "é", "!", "<|endoftext|>", "<|startoftext|>", "😀", "the", "ő", "…", "\x00", "ǅ"]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rnd = random.Random(1)
+    rows += [(9000 + i, "".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
+    rows += [(9100, None), (9101, ""), (9102, " \n\t "), (9103, "x" * 5000), (9104, "a b c d"), (9105, "A  b c D"), (9106, "same words here " * 60), (9107, "same words here " * 60)]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def table(spark, docs):
+    # columns whose names could clash with the operators' own
+    return spark.createDataFrame([(d, t, "x", 1, t) for d, t in docs], "doc_id bigint, text string, blob string, n_words bigint, verdicts string").repartition(3).cache()
+
+
+def _empty(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
+
+
+def test_token_codes(spark, table, docs):
+    tok, at = Tokenizer.from_file(WORD), 0
+    got = {r.doc_id: r for r in token_codes.token_table(table, WORD).collect()}
+    assert len(got) == len(docs)
+    for d, t in sorted(docs):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())), d
+        at += len(ids)
+    assert token_codes.token_table(_empty(spark), WORD).count() == 0
+
+
+def test_codes_random_access():
+    rnd = random.Random(4)
+    for n, top in itertools.product((0, 1, 2, 511, 513, 3000), (1, 2, 300, 49_408, (1 << 32) - 1)):
+        values = np.array([int(top * rnd.random() ** 4) for _ in range(n)], np.uint32)
+        codes = token_codes.Codes(token_codes.encode_codes(values))
+        assert (codes.all() == values).all() and all(codes[i] == values[i] for i in range(0, n, 7))
+    with pytest.raises(IndexError):
+        codes[n]
+
+
+def _line_base(text):
+    text = text or ""
+    w, lines = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)]
+    seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = [False] * len(w)
+    for i in range(len(w) - 2):
+        if seen[tuple(w[i : i + 3])] > 1:
+            hit[i : i + 3] = [True] * 3
+    r, n = sum(hit), len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), r, n < 50 or 100 * r > 50 * n
+
+
+def test_line_rules(spark, table, docs):
+    rows = table.withColumn("source", F.when(F.col("doc_id") % 5 != 0, "s"))
+    got = {r.doc_id: r for r in line_rules.rules(rows, most_docs=3, most_removed=20).collect()}
+    lines = collections.defaultdict(set)
+    norm = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ").lower()
+    own = {d: [x for x in (t or "").split("\n") if WORDS.search(x)] for d, t in docs}
+    for d, ls in own.items():
+        for x in ls:
+            lines[d % 5 != 0, norm(x)].add(d)
+    for d, t in docs:
+        base = _line_base(t)
+        assert tuple(got[d][1:7]) == base, d
+        lost, total = sum(len(x) for x in own[d] if len(lines[d % 5 != 0, norm(x)]) > 3), sum(map(len, own[d]))
+        assert got[d].kept == (not base[5] and not 100 * lost > 20 * total), d
+    assert line_rules.rules(_empty(spark)).count() == 0
+    assert line_rules.clean(rows, most_docs=3).count() == len(docs)
+    assert "Python" not in line_rules.rules(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bpe(spark, table, docs):
+    tok = Tokenizer.from_file(BYTE)
+    got = {r.doc_id: r for r in bpe_verify.round_trip(table, BYTE).collect()}
+    for d, t in docs:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        sha = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        back = hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), sha, back), d
+    own = bpe_verify.SpeculativeBPE(BYTE)
+    rnd = random.Random(2)
+    for _ in range(500):
+        ids = [rnd.randrange(own.size) for _ in range(5)]
+        assert own.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+    assert bpe_verify.round_trip(_empty(spark), BYTE).count() == 0
+
+
+def _dedup(rows, length):
+    words, first = {d: WORDS.findall(t or "") for d, t in rows}, {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - length + 1):
+            first.setdefault(tuple(words[d][i : i + length]), d)
+    out = {}
+    for d, w in words.items():
+        hit = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] < d:
+                hit[i : i + length] = [True] * length
+        kept = [x for x, h in zip(w, hit, strict=True) if not h]
+        out[d] = len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("length", [6, 50])
+def test_substring_dedup(spark, table, docs, length):
+    rows, frame = docs, table
+    if length == 6:
+        rnd = random.Random(3)
+        base = [rnd.choice("abcdefghij") for _ in range(300)]
+        rows = []
+        for d in range(40):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(300)] = rnd.choice("klm")
+            a = rnd.randrange(200)
+            rows.append((d * 3 % 61, " ".join(w[a : a + rnd.randint(0, 300)]) if d % 7 else None))
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame, length).collect()}
+    assert got == _dedup(rows, length)
+
+
+def test_blocks_of_long_texts(monkeypatch, spark):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 32)
+    words = [random.Random(7).choice("abcdef") for _ in range(400)]
+    keys = set()
+    for at, w in substring_dedup.blocks(np.array([hash(x) & 0xFFFF for x in words], np.uint64), 10):
+        keys |= {at + i for a, b in zip(w.starts, w.ends, strict=True) for i in range(a, b)}
+    assert keys == set(range(391))
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.filter(crc_of_id() % 4 != 2), 60)
+    held = language_id.predict(docs.filter(crc_of_id() % 4 == 2), model, "lang").collect()
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in held)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- 😀"), (None, "the and of")], "doc_id bigint, text string")
+    assert [r.lang_pred for r in language_id.predict(odd, model).collect()] == ["und"] * 3 + ["en"]
+    none = language_id.fit(_empty(spark))
+    assert language_id.predict(odd, none).filter("lang_pred = 'und'").count() == 4
+    single = language_id.fit(docs.filter("lang = 'fr'"), 5)
+    assert {r.lang_pred for r in language_id.predict(docs.limit(5), single).collect()} == {"fr"}
+
+
+def _cost(rows):
+    cost, state = 0, chat_repair.START
+    for r in rows:
+        role, new = chat_repair.role_number(r.role), chat_repair.ROLES.index(r.role_out)
+        cost += 0 if new == role else chat_repair.RELABEL_UNKNOWN if role == 0 else chat_repair.RELABEL
+        cost += chat_repair.MERGE * r.action.endswith("merge") + chat_repair.INSERT * len(r.inserted)
+        state = new
+    return cost + int(chat_repair.END_COST[state])
+
+
+def _cheapest(roles):
+    """Over every choice of role and of merge, by enumeration."""
+    best = {chat_repair.START: 0}
+    for role in roles:
+        new: dict[int, int] = {}
+        for state, c in best.items():
+            for cost, to, _, _ in chat_repair.choices(role, state):
+                new[to] = min(new.get(to, 1 << 30), c + cost)
+        best = new
+    return min(c + int(chat_repair.END_COST[s]) for s, c in best.items())
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_chat_repair(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_repair, "BLOCK_TURNS", block)
+    rnd = random.Random(1)
+    rows = [(c, i, rnd.choice(["user", "assistant", "system", "Human", None, "tool"]), rnd.choice(["hi", None, ""])) for c in (1, 2, 3, None, 5) for i in range(rnd.randint(1, 40))]
+    got = chat_repair.repair(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for c in (1, 2, 3, None, 5):
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
+        assert [r.turn for r in own] == [r[1] for r in rows if r[0] == c]
+        assert _cost(own) == _cheapest([chat_repair.role_number(r.role) for r in own])
+        text = "".join(r.piece for r in own)
+        turns = re.findall(r"<\|(system|user|assistant)\|>\n", text)
+        assert re.fullmatch("s?(ua)*", "".join(t[0] for t in turns)) and text.count("<|end|>") == len(turns)
+    assert chat_repair.repair(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def _hits(docs, items, k):
+    windows = collections.defaultdict(set)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    for i, t in items:
+        w = split(t)
+        for a in range(max(1, len(w) - k + 1) if w else 0):
+            windows[tuple(w[a : a + k])].add(str(i))
+    out = {}
+    for d, t in docs:
+        w = split(t)
+        hit, found = [False] * len(w), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if x := windows.get(tuple(w[a : a + n])):
+                    found |= x
+                    hit[a : a + n] = [True] * n
+        out[d] = len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)
+    return out
+
+
+@pytest.mark.parametrize("block", [100_000, 20])
+def test_decontaminate(spark, monkeypatch, table, docs, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rnd = random.Random(2)
+    items = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.choice((0, 1, 5, 6, 7, 9, 30))))) for i in range(8)] + [(80, "q r s"), (50, None), (51, "...")]
+    texts = [(i, ", ".join(rnd.choice([*"abcde", "Q", "r", "s"]) for _ in range(rnd.randint(0, 60)))) for i in range(120)] + [(1000, None)]
+    frame, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.decontaminate(frame, bench, 6).collect()}
+    assert got == _hits(texts, items, 6)
+    if block == 100_000:
+        real = spark.read.parquet(f"{DATA}/benchmark.parquet")
+        got = {r.doc_id: r for r in decontaminate.decontaminate(table, real, 10, keep_text=True).collect()}
+        assert {d: tuple(r)[1:6] for d, r in got.items()} == _hits(docs, [(r.item_id, r.text) for r in real.collect()], 10)
+        assert all(got[d].kept_text == t for d, t in docs if not got[d].n_hit)
+        assert decontaminate.decontaminate(frame, bench.limit(0)).filter("contaminated").count() == 0
+
+
+PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";</script><style>p{}</style></head><body><header>Site</header>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> --><article><h1>Title &amp; more</h1><p>First <b>bold</b>&nbsp;text<br>goes on<p>Second
+   line</p><div class="ad">Buy</div><ul><li>one<li>two</ul><form><input><button>Go</button></form><div class=promo-x><p>Follow us</p></div>
+<aside>Side</aside><blockquote>Quote &#233;&copy</blockquote><table><tr><td>a</td><td>b</td></tr></table></article>
+<section id="comments"><article><p>A reader</p></article></section><div role=contentinfo>Imprint</div><footer>Foot</footer></body></html>"""
+
+
+def test_html(spark):
+    pages = [(i, f"https://User@Host{i % 2}.example:80/{i}?q", PAGE.replace("First", f"First{i}").replace('<div class="ad">', "<div class='intro'>") if i < 12 else PAGE) for i in range(14)]
+    pages += [(90, None, None), (91, "", ""), (92, "x", "plain & <b>bold"), (93, "http://a/b", "<p>one<p>two</p></article><div>tail"), (94, "http://a/c", "<article><p>cut off <a hre")]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), many=3).collect()}
+    body = "Title & more\nFirst{} bold text goes on\nSecond line\none\ntwo\nQuote é©\na b"
+    for i in range(12):
+        assert got[i].text == body.format(i), got[i].text  # "Buy" recurs and so is template
+    assert got[12].text == body.format("") and got[90].text == "" == got[91].text and got[92].text == "plain & bold" and got[93].text == "one\ntwo\ntail" and got[94].text == "cut off"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learned = docs.join(labels.filter(crc_of_id() % 5 != 0).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    model = compress_quality.fit(learned)
+    rows = compress_quality.score(docs, model).join(labels, "doc_id").filter(crc_of_id() % 5 == 0).collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.9
+    odd = compress_quality.score(spark.createDataFrame([(1, None), (2, ""), (None, "x" * 300_000)], "doc_id bigint, text string"), model).collect()
+    assert len(odd) == 3 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+    assert compress_quality.fit(learned.filter("label = 1")).start().score(b"x") == 0.5
+
+
+def _groups(rows, k):
+    sets = {}
+    for d, t in rows:
+        w = WORDS.findall((t or "").translate(LOW))
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    parent, by, common = {d: d for d in sets}, collections.defaultdict(list), collections.Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, s in sets.items():
+        for x in s:
+            by[x].append(d)
+    for ds in by.values():
+        common.update(itertools.combinations(sorted(ds), 2))
+    for (a, b), c in common.items():
+        if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+
+
+def test_near_duplicates(spark, table, docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 7)
+    rnd, rows, d = random.Random(5), [], 0
+    for size in (30, 120, 60):
+        base = [f"w{rnd.randrange(500)}" for _ in range(size)]
+        for _ in range(30):
+            for _ in range(rnd.randint(0, 3)):
+                base[rnd.randrange(size)] = f"w{rnd.randrange(500)}"  # a chain that drifts away from its start
+            rows.append((50_000 + d * 7919 % 100_003, " ".join(base)))
+            d += 1
+    rows += docs
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, sig string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame, 4).collect()}
+    assert got == _groups(rows, 4)
+
+
+def test_near_duplicates_without_ids_or_words(spark):
+    odd = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, None), (2, " ")], "doc_id bigint, text string")
+    assert near_dup.near_duplicates(odd).filter("kept").count() == 4
+    assert near_dup.near_duplicates(_empty(spark)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3), (9, 8), (9, 8)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {8: 8, 9: 8}
