@@ -8,6 +8,7 @@ rank by rank. Decoding goes from ids to bytes to text, with U+FFFD for what isn'
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -221,7 +222,11 @@ class SpeculativeBPE:
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         split = [self.chunks(t) for t in texts]
         needed = set().union(*split)
-        self.prepare(needed - self.special.keys())
+        gc.disable()  # many tuples and no cycles
+        try:
+            self.prepare(needed - self.special.keys())
+        finally:
+            gc.enable()
         for special, i in self.special.items():
             self.known[special] = (i,)
         for x in split:
