@@ -126,13 +126,16 @@ def directory(path: Column) -> Column:
 
 
 def span_status(code: Column) -> Column:
-    """Status of a span: none is info, 2 is error, others are ok."""
-    return F.when(code.isNull(), "info").when(code == 2, "error").otherwise("ok")
+    """Status of a span: 0 and 1 are ok, 2 is error, others and none are info."""
+    return F.when(code.isin(0, 1), "ok").when(code == 2, "error").otherwise("info")
 
 
-def severity(number: Column) -> Column:
-    """Log status of an OTLP severity number."""
-    return F.when(number.between(1, 4), "trace").when(number.between(5, 8), "debug").when(number.between(9, 12), "info").when(number.between(13, 16), "warn").when(number.between(17, 20), "error").when(number.between(21, 24), "fatal").otherwise("unknown")
+def severity(number: Column, fallback: Column | None = None) -> Column:
+    """Log status of an OTLP severity number; 0 is unknown, a number out of range gives the fallback."""
+    out = F.when(number == 0, "unknown")
+    for k, name in enumerate(("trace", "debug", "info", "warn", "error", "fatal")):
+        out = out.when(number.between(4 * k + 1, 4 * k + 4), name)
+    return out.otherwise(F.lit("unknown") if fallback is None else fallback)
 
 
 def span_kind(number: Column) -> Column:
@@ -161,3 +164,27 @@ def convert_unit(value: Column, unit: str, to: str) -> Column:
 def format_duration(ns: Column) -> Column:
     """Nanoseconds with the largest unit that is not over them, two decimals."""
     return F.when(ns >= 10**9, F.format_string("%.2fs", ns / 10**9)).when(ns >= 10**6, F.format_string("%.2fms", ns / 10**6)).when(ns >= 10**3, F.format_string("%.2fus", ns / 10**3)).otherwise(F.concat(ns.cast("string"), F.lit("ns")))
+
+
+def encrypt(text: Column, phrase: str) -> Column:
+    """AES-GCM under the MD5 of a phrase, base64."""
+    return F.base64(F.aes_encrypt(text, F.unhex(F.md5(F.lit(phrase))), F.lit("GCM")))
+
+
+def decrypt(text: Column, phrase: str) -> Column:
+    return F.decode(F.aes_decrypt(F.unbase64(text), F.unhex(F.md5(F.lit(phrase))), F.lit("GCM")), "utf-8")
+
+
+def merge_tags(*maps: Column) -> Column:
+    """String maps as one with underscores for dots in keys; the first map that has a key wins."""
+    out = F.transform_keys(maps[0], lambda k, _: dots_to_underscores(k))
+    for m in maps[1:]:
+        own = F.transform_keys(m, lambda k, _: dots_to_underscores(k))
+        out = F.map_concat(out, F.map_filter(own, lambda k, _, out=out: ~F.map_contains_key(out, k)))
+    return out
+
+
+def formatted_time(ts: Column, unit: str) -> Column:
+    """A timestamp as a number of s, ms, us or ns, as templates write it."""
+    micros = F.unix_micros(ts)
+    return {"s": F.floor(micros / 1_000_000), "ms": F.floor(micros / 1000), "us": micros, "ns": micros * 1000}[unit].cast("bigint")

@@ -92,3 +92,58 @@ def hop_stats(df: DataFrame, keys: list[str], rtt: str, failed: Column) -> DataF
     """Statistics of a hop: sample deviation, 0 for a single probe."""
     good = F.when(~failed, F.col(rtt))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("failed"), (100.0 * F.count_if(failed) / F.count(F.lit(1))).alias("loss"), F.avg(good).alias("avg_cost"), F.min(good).alias("min_cost"), F.max(good).alias("max_cost"), F.coalesce(F.stddev_samp(good), F.lit(0.0)).alias("std_cost"))
+
+
+def _any(*reasons: Column | None) -> list[Column]:
+    return [r for r in reasons if r is not None]
+
+
+def http_assertions(status: str | None = None, body_contains: str | None = None, header: tuple[str, str] | None = None, time_ms: float | None = None, columns: tuple[str, str, str, str] = ("status_code", "body", "headers", "response_ms")) -> list[Column]:
+    """HTTP: a status code, text in the body, a header's value, and a response time that may not be over the limit."""
+    code, body, headers, ms = (F.col(c) for c in columns)
+    return _any(
+        text_assertion(code.cast("string"), "status code", equals=status) if status else None,
+        text_assertion(body, "body", contains=body_contains) if body_contains else None,
+        text_assertion(F.try_element_at(headers, F.lit(header[0])), f"header {header[0]}", contains=header[1]) if header else None,
+        time_assertion(ms, time_ms, False) if time_ms is not None else None,
+    )
+
+
+def tcp_assertions(time_ms: float | None = None, message: str | None = None, with_dns: bool = False, max_hops: int | None = None) -> list[Column]:
+    """TCP: a response time, with or without name resolution, that must stay under the limit, the reply and the hops."""
+    ms = F.col("response_ms") + (F.col("dns_ms") if with_dns else F.lit(0.0))
+    return _any(time_assertion(ms, time_ms, True) if time_ms is not None else None, text_assertion(F.col("message"), "message", contains=message) if message else None, value_assertion(F.col("hops"), "leq", max_hops, "hops") if max_hops is not None else None)
+
+
+def ping_assertions(rtt: dict[str, tuple[str, float]] | None = None, loss: tuple[str, float] | None = None, packets: tuple[str, float] | None = None) -> list[Column]:
+    """ICMP: avg, min, max or std of the round trips, the loss in percent and the packets received."""
+    out = [ping_assertion(F.col(f"rtt_{k}"), F.col("loss_percent"), op, target, f"{k} round trip") for k, (op, target) in (rtt or {}).items()]
+    return out + _any(value_assertion(F.col("loss_percent"), *loss, "loss") if loss else None, value_assertion(F.col("packets"), *packets, "packets") if packets else None)
+
+
+def ssl_assertions(now_s: Column, days_left: int | None = None, subject: str | None = None, issuer: str | None = None, version: str | None = None, time_ms: float | None = None) -> list[Column]:
+    """TLS: days until expiry, subject, issuer, protocol version, and a response time that must stay under the limit."""
+    left = F.floor((F.col("not_after_s") - now_s) / 86_400)
+    return _any(
+        value_assertion(left, "geq", days_left, "days left") if days_left is not None else None,
+        text_assertion(F.col("subject"), "subject", contains=subject) if subject else None,
+        text_assertion(F.col("issuer"), "issuer", contains=issuer) if issuer else None,
+        text_assertion(F.col("tls_version"), "version", equals=version) if version else None,
+        time_assertion(F.col("response_ms"), time_ms, True) if time_ms is not None else None,
+    )
+
+
+def websocket_assertions(message: str | None = None, header: tuple[str, str] | None = None, time_ms: float | None = None) -> list[Column]:
+    return _any(text_assertion(F.col("message"), "message", contains=message) if message else None, text_assertion(F.try_element_at("headers", F.lit(header[0])), f"header {header[0]}", contains=header[1]) if header else None, time_assertion(F.col("response_ms"), time_ms, False) if time_ms is not None else None)
+
+
+def grpc_assertions(body: str | None = None, time_ms: float | None = None) -> list[Column]:
+    """gRPC: text in the reply and a response time; without either, a check passes."""
+    return _any(text_assertion(F.col("body"), "body", contains=body) if body else None, time_assertion(F.col("response_ms"), time_ms, False) if time_ms is not None else None)
+
+
+def result_rows(df: DataFrame, protocol: str, tags: list[str], fields: list[str], message: Column | None = None) -> DataFrame:
+    """A check's results as points: its tags with status and protocol, its fields with success and the message."""
+    tag_entries = [x for t in [*tags, "status"] for x in (F.lit(t), F.col(t).cast("string"))] + [F.lit("proto"), F.lit(protocol)]
+    text = message if message is not None else F.to_json(F.struct(*fields, "fail_reason"))
+    return df.select(F.lit(f"{protocol}_dial_testing").alias("name"), F.map_filter(F.create_map(*tag_entries), lambda _, v: v.isNotNull()).alias("tags"), *fields, "success", text.alias("message"))

@@ -105,16 +105,35 @@ def group_summary(df: DataFrame, keys: list[str], start: str, duration: str, sta
     )
 
 
-def builtin_metrics(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline], kind: str, error: Column) -> DataFrame:
-    """Built-in counters of one data kind, long: (metric, stage, decision, value). One pass over groups gives them all."""
-    flagged = df.withColumn("_error", error)
-    groups = decide(flagged, keys, hash_key, pipelines).join(flagged.groupBy(*keys).agg(F.bool_or("_error").alias("error")), keys)
+#: The built-in metrics of each data kind as (name, stage, decision, what is counted), and duration bounds in ms.
+BUILTIN = {
+    "trace": [("trace_total_count", "ingest", "", "total"), ("trace_kept_count", "decision", "kept", "kept"), ("trace_dropped_count", "decision", "dropped", "dropped"), ("trace_error_count", "ingest", "", "errors"), ("span_total_count", "ingest", "", "points")],
+    "logging": [("logging_total_count", "ingest", "", "total"), ("logging_error_count", "ingest", "", "errors"), ("logging_kept_count", "decision", "kept", "kept"), ("logging_dropped_count", "decision", "dropped", "dropped")],
+    "rum": [("rum_total_count", "ingest", "", "total"), ("rum_kept_count", "decision", "kept", "kept"), ("rum_dropped_count", "decision", "dropped", "dropped")],
+}
+DURATION_BOUNDS_MS = (1, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000)
+
+
+def builtin_metrics(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline], kind: str, error: Column, start_ns: Column | None = None, end_ns: Column | None = None, enabled: tuple[str, ...] | None = None) -> DataFrame:
+    """Built-in metrics of one data kind, long: (metric, stage, decision, le, value). Two passes over the groups give them all.
+
+    Here a packet is a group. With the times of spans, traces also give the cumulative histogram of ``trace_duration``,
+    over traces that last. ``enabled`` names the metrics wanted; without it all are.
+    """
+    timed = df.withColumns({"_error": error, "_start": start_ns if start_ns is not None else F.lit(None).cast("bigint"), "_end": end_ns if end_ns is not None else F.lit(None).cast("bigint")})
+    facts = timed.groupBy(*keys).agg(F.bool_or("_error").alias("error"), ((F.max("_end") - F.min(F.nullif("_start", F.lit(0)))) / 1e6).alias("ms"))
+    groups = decide(df, keys, hash_key, pipelines).join(facts, keys)
+    lasting = F.when(F.col("ms") > 0, F.col("ms"))
     one = groups.agg(
         F.count(F.lit(1)).alias("total"), F.sum("spans").alias("points"), F.count_if("error").alias("errors"), F.count_if(F.col("decision") == "keep").alias("kept"), F.count_if(F.col("decision") == "drop").alias("dropped"),
-        F.count_if((F.col("decision") == "keep") & F.col("error")).alias("kept_errors"), F.count_if((F.col("decision") == "drop") & F.col("error")).alias("dropped_errors"),
+        *(F.count_if(lasting <= b).alias(f"_b{b}") for b in DURATION_BOUNDS_MS), F.count(lasting).alias("_n"), F.sum(lasting).alias("_s"),
     )
-    rows = [("total_count", "ingest", "", "total"), ("point_count", "ingest", "", "points"), ("error_count", "pre_decision", "", "errors"), ("kept_count", "decision", "keep", "kept"), ("dropped_count", "decision", "drop", "dropped"), ("error_kept_count", "decision", "keep", "kept_errors"), ("error_dropped_count", "decision", "drop", "dropped_errors")]
-    entries = F.array(*(F.struct(F.lit(f"{kind}_{m}").alias("metric"), F.lit(s).alias("stage"), F.lit(d).alias("decision"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("value")) for m, s, d, c in rows))
+    rows = [(m, s, d, "", c) for m, s, d, c in BUILTIN[kind]]
+    if kind == "trace" and start_ns is not None:
+        rows += [("trace_duration_bucket", "pre_decision", "", str(b), f"_b{b}") for b in DURATION_BOUNDS_MS]
+        rows += [("trace_duration_bucket", "pre_decision", "", "+Inf", "_n"), ("trace_duration_count", "pre_decision", "", "", "_n"), ("trace_duration_sum", "pre_decision", "", "", "_s")]
+    rows = [r for r in rows if enabled is None or r[0] in enabled or r[0].rsplit("_", 1)[0] in enabled]
+    entries = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(s).alias("stage"), F.lit(d).alias("decision"), F.lit(le).alias("le"), F.coalesce(F.col(c), F.lit(0)).cast("double").alias("value")) for m, s, d, le, c in rows))
     return one.select(F.inline(entries))
 
 

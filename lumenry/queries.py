@@ -208,12 +208,18 @@ def session_ttl_groups(spark, sf_dir):
 def _builtin(name: str, kind: str, table: str, group: str, error: str, sql_from: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _spans(spark, sf_dir) if table == "spans" else read(spark, sf_dir, table).withColumn("status", F.col("event_type"))
-        return sampling.builtin_metrics(df, [group], group, [sampling.Pipeline("e", condition=f"{{ status = '{error}' }}")], kind, F.col("status") == error)
+        times = (F.col("start") * 1000, F.col("start") * 1000 + (F.col("duration") * 1_000_000).cast("bigint")) if table == "spans" else (None, None)
+        return sampling.builtin_metrics(df, [group], group, [sampling.Pipeline("e", condition=f"{{ status = '{error}' }}")], kind, F.col("status") == error, *times)
 
     QUERIES[name] = run
-    g = f"(SELECT {group}, count(*) AS n, bool_or(status = '{error}') AS e FROM {sql_from} GROUP BY {group})"
-    rows = [("total_count", "ingest", "", "count(*)"), ("point_count", "ingest", "", "sum(n)"), ("error_count", "pre_decision", "", "count(*) FILTER (e)"), ("kept_count", "decision", "keep", "count(*) FILTER (e)"), ("dropped_count", "decision", "drop", "count(*) FILTER (NOT e)"), ("error_kept_count", "decision", "keep", "count(*) FILTER (e)"), ("error_dropped_count", "decision", "drop", "count(*) FILTER (NOT e AND e)")]
-    ORACLES[name] = " UNION ALL ".join(f"SELECT '{kind}_{m}' AS metric, '{s}' AS stage, '{d}' AS decision, CAST({x} AS BIGINT) AS value FROM {g}" for m, s, d, x in rows)
+    ms = "(max(start * 1000 + CAST(duration * 1000000 AS BIGINT)) - min(start * 1000)) / 1e6" if table == "spans" else "0"
+    g = f"(SELECT {group}, count(*) AS n, bool_or(status = '{error}') AS e, {ms} AS ms FROM {sql_from} GROUP BY {group})"
+    counted = {"total": "count(*)", "points": "sum(n)", "errors": "count(*) FILTER (e)", "kept": "count(*) FILTER (e)", "dropped": "count(*) FILTER (NOT e)"}
+    rows = [(m, s, d, "", counted[c]) for m, s, d, c in sampling.BUILTIN[kind]]
+    if table == "spans":
+        rows += [("trace_duration_bucket", "pre_decision", "", str(b), f"count(*) FILTER (ms > 0 AND ms <= {b})") for b in sampling.DURATION_BOUNDS_MS]
+        rows += [("trace_duration_bucket", "pre_decision", "", "+Inf", "count(*) FILTER (ms > 0)"), ("trace_duration_count", "pre_decision", "", "", "count(*) FILTER (ms > 0)"), ("trace_duration_sum", "pre_decision", "", "", "sum(ms) FILTER (ms > 0)")]
+    ORACLES[name] = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{s}' AS stage, '{d}' AS decision, '{le}' AS le, CAST({x} AS DOUBLE) AS value FROM {g}" for m, s, d, le, x in rows)
 
 
 _builtin("builtin_metrics_trace", "trace", "spans", "trace_id", "error", _SPANS)

@@ -141,7 +141,7 @@ def otlp_logs(bodies: DataFrame, column: str = "value", chunk: int = 32_000) ->
     r = bodies.select(F.explode(F.from_json(column, OTLP_LOGS)["resourceLogs"]).alias("r"))
     s = r.select(attributes(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeLogs").alias("s")).select("ra", F.explode("s.logRecords").alias("l"))
     time = F.coalesce(F.nullif(F.col("l.timeUnixNano").cast("bigint"), F.lit(0)), F.col("l.observedTimeUnixNano").cast("bigint"))
-    status = F.when(F.col("l.severityNumber") > 0, severity(F.col("l.severityNumber"))).otherwise(F.coalesce(F.lower("l.severityText"), F.lit("unknown")))
+    status = severity(F.coalesce(F.col("l.severityNumber"), F.lit(0)), F.coalesce(F.lower("l.severityText"), F.lit("unknown")))
     rows = s.select(F.posexplode(chunks(F.coalesce(any_text(F.col("l.body")), F.lit("")), chunk)).alias("part", "message"), status.alias("status"), F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"), merge_first(F.col("ra"), attributes(F.col("l.attributes"))).alias("tags"), time.alias("_t"))
     return rows.select("message", "status", "trace_id", "span_id", "tags", (F.col("_t") + F.col("part") * 1_000_000).alias("time_ns"))
 

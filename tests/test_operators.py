@@ -211,3 +211,34 @@ def test_points_round_trip_and_query(spark):
     assert pts.first().fields["v"]["f"] == 1.0 and pts.first().time_ns == 1_704_067_205 * 10**9
     q = Query(df).where("{v > 1.0}").bucket("ts", 60).group(["bucket"], n=F.count(F.lit(1))).order("bucket").limit(5)
     assert q.df.first().n == 2
+
+
+def test_protobuf_round_trip(spark):
+    from lumenry.sources import point_pb
+    from lumenry.sources.samples import random_points
+
+    pts = random_points(spark, 50)
+    back = point_pb.parse(point_pb.encode(pts, 7).withColumnRenamed("body", "value"))
+    key = lambda df: sorted(str((r.name, sorted(r.tags.items()), sorted((k, tuple(v)) for k, v in r.fields.items()), r.time_ns)) for r in df.collect())
+    assert key(back) == key(pts)
+    odd = point_pb.write_points([{"name": "m", "tags": {"t": "é"}, "fields": {"n": {"i": -5, "u": None, "f": None, "b": None, "d": None, "s": None}, "u": {"i": None, "u": (1 << 64) - 1, "f": None, "b": None, "d": None, "s": None}}, "time_ns": -1}])
+    got = point_pb.read_points(odd)[0]
+    assert got["tags"] == {"t": "é"} and got["fields"]["n"]["i"] == -5 and int(got["fields"]["u"]["u"]) == (1 << 64) - 1 and got["time_ns"] == -1
+
+
+def test_protocol_assertions(spark):
+    row = spark.createDataFrame([(200, "hello", {"server": "x"}, 10.0, 3.0, "pong", 5, 1.0, 0.0, 10, 1_000_000, "CN=a", "CA", "TLS1.3")], "status_code int, body string, headers map<string,string>, response_ms double, dns_ms double, message string, hops int, rtt_avg double, loss_percent double, packets int, not_after_s bigint, subject string, issuer string, tls_version string")
+    ok = [assertions.http_assertions("200", "hell", ("server", "x"), 10), assertions.tcp_assertions(10.5, "pong"), assertions.ping_assertions({"avg": ("lt", 2)}, ("leq", 0), ("geq", 10)), assertions.ssl_assertions(F.lit(0), 11, "CN=a", "CA", "TLS1.3", 11), assertions.websocket_assertions("pong", ("server", "x"), 10), assertions.grpc_assertions("hello", 10)]
+    bad = [assertions.http_assertions("404"), assertions.tcp_assertions(10), assertions.tcp_assertions(12, with_dns=True), assertions.ssl_assertions(F.lit(0), 12), assertions.websocket_assertions("ping"), assertions.grpc_assertions(time_ms=9.0)]
+    out = row
+    for i, reasons in enumerate([*ok, *bad]):
+        out = out.withColumn(f"r{i}", assertions.fold(reasons)[0])
+    got = out.first()
+    assert [got[f"r{i}"] for i in range(len(ok) + len(bad))] == ["OK"] * len(ok) + ["FAIL"] * len(bad)
+    results = assertions.result_rows(assertions.with_result(row, ok[0]), "http", ["subject"], ["response_ms"]).first()
+    assert results.tags == {"subject": "CN=a", "status": "OK", "proto": "http"} and results.success == 1
+
+
+def test_encryption_and_tag_merge(spark):
+    row = spark.range(1).select(scalar.decrypt(scalar.encrypt(F.lit("secret é"), "phrase"), "phrase"), scalar.merge_tags(F.create_map(F.lit("a.b"), F.lit("1")), F.create_map(F.lit("a_b"), F.lit("2"), F.lit("c"), F.lit("3")))).first()
+    assert row[0] == "secret é" and row[1] == {"a_b": "1", "c": "3"}
