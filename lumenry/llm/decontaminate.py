@@ -181,28 +181,45 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (doc_id, the columns ``carry``, text) with ``spans`` (array of word spans of occurring windows) and ``items`` (item_ids found)."""
-    own_names = ["doc_id", *carry]
-    own_kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own_names)
-    kind = f"{own_kind}text string, spans array<struct<a: int, b: int>>, items array<string>"
-    out = docs.select(*own_names, "text", F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for automaton in item_blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words and one item
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for piece in pieces(batches):
-                spans, items = piece.column("spans").to_pylist(), piece.column("items").to_pylist()
-                for k, text in enumerate(raw(piece.column("text"))):
-                    got, found = own.scan(words_of(text))
-                    if found:
-                        spans[k] = [{"a": a, "b": b} for a, b in _merged([*((s["a"], s["b"]) for s in spans[k]), *got])]
-                        items[k] = sorted({*items[k], *(own.names[i] for i in found)})
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own_names), piece.column("text"), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[*own_names, "text", "spans", "items"])
-
-        out = out.mapInArrow(run, kind)
-    return out
+_SPANS = "array<struct<a: int, b: int>>"
+_SPAN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _kind(docs: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+
+
+def _scan(rows: DataFrame, automaton: SuffixAutomaton | None, names: list[str], keep_text: bool) -> DataFrame:
+    """One pass: spans and items of one automaton beside those found before, and the number of words."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words and one item
+    kept = [*names, *(["text"] if keep_text else [])]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for piece in pieces(batches):
+            spans, items, n = piece.column("spans").to_pylist(), piece.column("items").to_pylist(), []
+            for k, text in enumerate(raw(piece.column("text"))):
+                words = words_of(text)
+                n.append(len(words))
+                got, found = own.scan(words) if own else ([], set())
+                if found:
+                    spans[k] = [{"a": a, "b": b} for a, b in _merged([*((s["a"], s["b"]) for s in spans[k]), *got])]
+                    items[k] = sorted({*items[k], *(own.names[i] for i in found)})
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*kept, "spans", "items", "n_words"])
+
+    return rows.select(*names, "text", "spans", "items").mapInArrow(run, f"{_kind(rows, kept)}spans {_SPANS}, items array<string>, n_words bigint")
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, the columns ``carry``, and text if kept) with ``spans`` (word spans of occurring windows), ``items``
+    (sorted item_ids found) and ``n_words``."""
+    names = ["doc_id", *carry]
+    rows = docs.select(*names, "text", F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    automata = item_blocks(benchmark, window)
+    now = next(automata, None)
+    while (following := next(automata, None)) is not None:
+        rows, now = _scan(rows, now, names, True), following
+    return _scan(rows, now, names, keep_text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_hit: float = 1.0, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -210,25 +227,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
 
     A word is hit inside any occurrence of a window: ``window`` consecutive words of an item, or a shorter item whole.
     ``kept_text`` is the text without its hit spans, each from its first word to its last, or null if over ``most_hit``
-    of the words are hit. Null text has no words and stays null; an empty benchmark hits nothing.
+    of the words are hit. Null text has no words and stays null; an empty benchmark hits nothing; repeated rows give a
+    row each.
     """
+    found = find_spans(docs, benchmark, window, carry, keep_text)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
+    texts: list = []
+    if keep_text:
+        names = [c for c in found.columns if c != "text"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            n, hit, sha, count, texts = [], [], [], [], []
-            for text, spans, items in zip(raw(piece.column("text")), piece.column("spans").to_pylist(), piece.column("items").to_pylist(), strict=True):
-                low = (text or b"").lower().translate(_SEPARATORS)
-                n.append(len(low.split()))
-                hit.append(sum(s["b"] - s["a"] for s in spans))
-                count.append(len(items))
-                sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-                if keep_text:
-                    texts.append(None if text is None or hit[-1] > most_hit * n[-1] else cut(text, low, spans))
-            cols = [*(piece.column(c) for c in ("doc_id", *carry)), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(texts, pa.string())] if keep_text else [])], names=["doc_id", *carry, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["kept_text"] if keep_text else [])])
-
-    kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carry))
-    return find_spans(docs, benchmark, window, carry).mapInArrow(run, f"{kind}n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + (", kept_text string" if keep_text else ""))
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches):
+                kept = []
+                for text, spans, n in zip(raw(piece.column("text")), piece.column("spans").to_pylist(), piece.column("n_words").to_pylist(), strict=True):
+                    over = sum(s["b"] - s["a"] for s in spans) > most_hit * n
+                    kept.append(None if text is None or over else cut(text, text.lower().translate(_SEPARATORS), spans))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(kept, pa.string())], names=[*names, "kept_text"])
+
+        found, texts = found.mapInArrow(run, f"{_kind(found, names)}kept_text string"), ["kept_text"]
+    return found.select("doc_id", *carry, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), *texts)
 
 
 def cut(text: bytes, low: bytes, spans: list[dict]) -> str:
