@@ -81,6 +81,14 @@ def dictionary(texts: list[bytes]) -> bytes:
     return b"\n".join(parts)[-DICTIONARY_BYTES:] or b"\n" * 8
 
 
+def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``rows`` of the labels (doc_id, label) 0 and 1 each, those of the least id hashes: so few that their join
+    with the documents moves no text."""
+    known = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", "label").distinct()
+    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    return ranked.filter(F.col("r") <= rows).select("doc_id", "label")
+
+
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` rows (text, label) of each label 0 and 1, those of the least text hashes.
 

@@ -50,8 +50,9 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_of_id() % 5 == 0
-    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label")).distinct()
-    model = compress_quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    sample = compress_quality.sample_labels(labels)  # at most TRAIN_ROWS rows of each label
+    model = compress_quality.fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     return compress_quality.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
