@@ -4,14 +4,15 @@ Texts with equal shingle sets are one representative from the start. Banded sign
 pairs of a bucket are compared signature batch by signature batch, and dropped once the posterior probability that their
 similarity reaches the threshold is below ``miss``; survivors are verified on their full shingle sets. No bucket expands
 into all its pairs: first each member meets the bucket's least member, and what that links is one component; then only
-pairs across components are compared, in blocks inside a task, the likeliest pair of two components is verified first,
-and whatever still stands apart is verified in full. So no link that joins two components is left out, but for
+pairs across components are compared, in blocks inside a task, which gives the likeliest pairs that would join them; and
+what still stands apart is verified on full texts inside the blocks. All that leaves a task is linear in its rows. So no link that joins two components is left out, but for
 ``miss`` a batch and the chance of sharing no band, (1 - s**4)**32, which is under 5e-8 at similarity 0.8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -122,20 +123,24 @@ def prune(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint, matches bigint")
 
 
-def across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ca, cb, matches) of one bucket and different components that sequential comparison leaves.
+def across(members: DataFrame, threshold: float, mode: str, size: int, percent: int) -> DataFrame:
+    """What sequential comparison leaves between different components of one bucket, never as all its pairs.
 
-    ``members``: (key, doc_id, comp, n_shingles, sig, size) of buckets with two components or more. A bucket of ``size``
-    members is dealt into blocks, and each two blocks meet in a task, so a large bucket is work for many tasks.
+    ``members``: (key, doc_id, comp, n_shingles, sig, size) of buckets with two components or more, for "exact" also
+    their texts as blob. A bucket of ``size`` members is dealt into blocks, and each two blocks meet in a task, so a large
+    bucket is work for many tasks. Modes: "forest" gives the likeliest pairs (a, b) that would join the block's
+    components, fewer than these; "who" the rows (key as a, doc_id as b) that take part in any pair; "exact" verifies
+    pairs on full shingle sets in the task, the likeliest first, until none is left between components that its links
+    haven't joined, and gives these links.
     """
     least = least_matches(threshold)
+    carry = ["blob"] if mode == "exact" else []
     blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "n_shingles", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "n_shingles", "sig", *carry)
 
-    def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(group).combine_chunks()
+    def survivors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         own, doc, comp, n = (t.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n_shingles"))
         sig = _matrix(t.column("sig"))
@@ -155,14 +160,38 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
                 keep = matches >= bound
                 a, b, matches = a[keep], b[keep], matches[keep]
             found.append((a, b, matches))
-        a, b, matches = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        swap = comp[a] > comp[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], comp[a], comp[b], matches)], names=["a", "b", "ca", "cb", "matches"])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+    def compare(group: list[pa.RecordBatch], known: Lookup) -> pa.RecordBatch:
+        t = pa.Table.from_batches(group).combine_chunks()
+        a, b, matches = survivors(t)
+        doc, comp = t.column("doc_id").to_numpy(), t.column("comp").to_numpy()
+        if mode == "who":
+            seen = np.unique(doc[np.concatenate((a, b))])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), t.column("key")[0].as_py())), pa.array(seen)], names=["a", "b"])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        @lru_cache(maxsize=256)
+        def shingled(row: int) -> np.ndarray:
+            return shingles(unpack(t.column("blob")[row].as_py()).lower().split(), size, known)
+
+        out: list[tuple[int, int]] = []
+        for k in np.argsort(-matches, kind="stable").tolist():
+            p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
+            if p != q and (mode == "forest" or _linked(shingled(int(a[k])), shingled(int(b[k])), percent)):
+                root[max(p, q)] = min(p, q)
+                out.append((int(doc[a[k]]), int(doc[b[k]])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        last, known = None, word_hashes()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,15 +200,19 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
             for x, y in zip(cuts, cuts[1:], strict=False):
                 mark = tuple(int(m[x]) for m in marks)
                 if held and mark != last:
-                    yield compare(held)
+                    yield compare(held, known)
                     held = []
                 held.append(batch.slice(x, y - x))
                 last = mark
         if held:
-            yield compare(held)
+            yield compare(held, known)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
 
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, matches bigint")
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common) > 0
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -200,9 +233,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             a, b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
             ok = []
             for p, q, s, t in zip(a, b, piece.column("blob_a").to_pylist(), piece.column("blob_b").to_pylist(), strict=True):
-                x, y = of(p, s), of(q, t)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
+                ok.append(_linked(of(p, s), of(q, t), percent))
             keep = [k for k, good in enumerate(ok) if good]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
@@ -233,28 +264,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = members.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = prune(stars.join(of_a, "a").join(of_b, "b"), threshold).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     links = materialize(verify(likely, texts, size, percent), "links")
-    # each node has one link to a smaller one at most; two steps along them label most of a component alike, which only
-    # spares comparisons
-    above = links.toDF("up", "a")
-    labels = links.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("component"))
-
-    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        own = labels.select(F.col("node").alias(node), F.col("component").alias("_c"))
-        return df.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-
-    apart = labelled(members.select("key", "doc_id", "size"), "doc_id", "comp")
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    left = materialize(across(apart.join(mixed, "key", "left_semi").join(signs, "doc_id"), threshold).groupBy("a", "b", "ca", "cb").agg(F.max("matches").alias("matches")), "across")
-    if left.isEmpty():
-        labels = materialize(components(links), "labels")
-    else:
-        best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b")
-        links = links.union(materialize(verify(best, texts, size, percent), "links"))
-        labels = materialize(components(links), "labels")
-        rest = labelled(labelled(left.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-        more = materialize(verify(rest, texts, size, percent), "links")
+    labels = components(links)
+
+    def mixed() -> DataFrame:
+        """Members of buckets that still have several components."""
+        own = labels.select(F.col("node").alias("doc_id"), "component")
+        known = members.select("key", "doc_id", "size").join(own, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        several = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+        return known.join(several, "key", "left_semi").join(signs, "doc_id")
+
+    likely = across(mixed(), threshold, "forest", size, percent).distinct()
+    more = materialize(verify(likely, texts, size, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    rest = materialize(mixed(), "mixed")
+    who = materialize(across(rest, threshold, "who", size, percent).distinct().toDF("key", "doc_id"), "who")
+    if not who.isEmpty():
+        chosen = rest.join(who, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+        more = materialize(across(chosen, threshold, "exact", size, percent).distinct(), "links")
         if not more.isEmpty():
-            labels = materialize(components(links.union(more)), "labels")
+            labels = components(links.union(more))
     # every text's representative, then that one's component
     found = every.select("doc_id", "n_shingles", "x1", "x2").join(copies, ["x1", "x2"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
