@@ -236,7 +236,11 @@ class SpeculativeBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-bpe = lru_cache(maxsize=1)(SpeculativeBPE)
+@lru_cache(maxsize=1)
+def bpe(path: str) -> SpeculativeBPE:
+    return SpeculativeBPE(path)
+
+
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1 << 20
 

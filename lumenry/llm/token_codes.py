@@ -184,7 +184,11 @@ class LibraryEncoder:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-encoder = lru_cache(maxsize=2)(LibraryEncoder)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 
 SEGMENT_SCHEMA = "part int, segment int, part_start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, codes binary"
 
