@@ -177,10 +177,14 @@ def decrypt(text: Column, phrase: str) -> Column:
 
 def merge_tags(*maps: Column) -> Column:
     """String maps as one with underscores for dots in keys; the first map that has a key wins."""
-    out = F.transform_keys(maps[0], lambda k, _: dots_to_underscores(k))
-    for m in maps[1:]:
-        own = F.transform_keys(m, lambda k, _: dots_to_underscores(k))
-        out = F.map_concat(out, F.map_filter(own, lambda k, _, out=out: ~F.map_contains_key(out, k)))
+    plain = [F.transform_keys(m, lambda k, _: dots_to_underscores(k)) for m in maps]
+
+    def without(own: Column, first: Column) -> Column:
+        return F.map_filter(own, lambda k, _: ~F.map_contains_key(first, k))
+
+    out = plain[0]
+    for m in plain[1:]:
+        out = F.map_concat(out, without(m, out))
     return out
 
 

@@ -79,9 +79,12 @@ def attributes(a: Column) -> Column:
 
 def merge_first(*maps: Column) -> Column:
     """Maps as one; the first that has a key wins."""
+    def without(own: Column, first: Column) -> Column:
+        return F.map_filter(own, lambda k, _: ~F.map_contains_key(first, k))
+
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(out, F.map_filter(m, lambda k, _, out=out: ~F.map_contains_key(out, k)))
+        out = F.map_concat(out, without(m, out))
     return out
 
 
