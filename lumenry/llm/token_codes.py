@@ -27,6 +27,8 @@ from lumenry.llm.common import Lookup, new_path, pieces
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
+#: Keys of each of two generations of a worker's tables, about 200 bytes each.
+WORD_KEYS, PART_KEYS = 500_000, 300_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -159,7 +161,7 @@ class LibraryEncoder:
         latin = "".join(level.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x180))
         pairs = {b: c for x, c in zip(range(0x80, 0x180), zip(*[iter(latin)] * 2, strict=True), strict=True) for b, c in zip(chr(x).encode(), c, strict=True)}
         self.byte_chars |= pairs
-        self.words, self.parts = Lookup(self._word, 250_000), Lookup(self._part)
+        self.words, self.parts = Lookup(self._word, WORD_KEYS), Lookup(self._part, PART_KEYS)
 
     def _part(self, part: str) -> bytes:
         mapped = part if part.isalpha() and part.isascii() else part.encode().decode("latin-1").translate(self.byte_chars)
