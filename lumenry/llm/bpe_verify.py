@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lumenry.llm.common import CACHE_KEYS, pieces
+from lumenry.llm.common import pieces
 
 #: The pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks of each of two generations of a worker's table.
-KNOWN_CHUNKS = 150_000
+#: Chunks of each of two generations of a worker's table, and pre-tokens of another, about 250 bytes each.
+KNOWN_CHUNKS, KNOWN_PARTS = 400_000, 400_000
 #: Bytes up to which merging scans rather than keeps a heap.
 SHORT = 32
 
@@ -199,7 +199,7 @@ class SpeculativeBPE:
             split = [self._split(c) for c in fresh[at : at + 20_000]]
             needed = set(chain.from_iterable(split))
             missing = list(needed - self.parts.keys())
-            if len(self.parts) + len(missing) > CACHE_KEYS:
+            if len(self.parts) + len(missing) > KNOWN_PARTS:
                 self.parts = {p: self.parts[p] for p in needed & self.parts.keys()}
             self.learn(missing)
             parts = self.parts
