@@ -254,12 +254,12 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";<
 
 def test_html(spark):
     pages = [(i, f"https://User@Host{i % 2}.example:80/{i}?q", PAGE.replace("First", f"First{i}").replace('<div class="ad">', "<div class='intro'>") if i < 12 else PAGE) for i in range(14)]
-    pages += [(90, None, None), (91, "", ""), (92, "x", "plain & <b>bold"), (93, "http://a/b", "<p>one<p>two</p></article><div>tail"), (94, "http://a/c", "<article><p>cut off <a hre")]
+    pages += [(90, None, None), (91, "", ""), (92, "x", "plain & <b>bold"), (93, "http://a/b", "<p>one<p>two</p></article><div>tail"), (94, "http://a/c", "<article><p>cut off <a hre"), (95, "http://alone/", PAGE)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), many=3).collect()}
-    body = "Title & more\nFirst{} bold text goes on\nSecond line\none\ntwo\nQuote é©\na b"
+    body = "Title & more\nFirst{} bold text goes on\nSecond line\n{}Quote é©{}"
     for i in range(12):
-        assert got[i].text == body.format(i), got[i].text  # "Buy" recurs and so is template
-    assert got[12].text == body.format("") and got[90].text == "" == got[91].text and got[92].text == "plain & bold" and got[93].text == "one\ntwo\ntail" and got[94].text == "cut off"
+        assert got[i].text == body.format(i, "", ""), got[i].text  # "Buy", the list and the table recur, so they're template
+    assert got[12].text == body.format("", "", "") and got[95].text == body.format("", "one\ntwo\n", "\na b") and got[90].text == "" == got[91].text and got[92].text == "plain & bold" and got[93].text == "one\ntwo\ntail" and got[94].text == "cut off"
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
