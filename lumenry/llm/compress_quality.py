@@ -58,12 +58,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ self.features(text or b""), -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps for a logistic curve."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps for a logistic curve; ``weight`` says how much each row counts."""
+    weight = np.ones(len(y)) if weight is None else weight
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -81,19 +82,33 @@ def dictionary(texts: list[bytes]) -> bytes:
     return b"\n".join(parts)[-DICTIONARY_BYTES:] or b"\n" * 8
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", "label").distinct()
+
+
+def count_labels(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """Rows of ``docs`` with text that the labels (doc_id, label) call 0 and 1, over the whole tables; only ids move."""
+    return _counts(docs.filter("text is not null").select("doc_id").join(_known(labels), "doc_id"))
+
+
+def _counts(rows: DataFrame) -> dict[int, int]:
+    return {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
+
+
 def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` of the labels (doc_id, label) 0 and 1 each, those of the least id hashes: so few that their join
     with the documents moves no text."""
-    known = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", "label").distinct()
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    ranked = _known(labels).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
     return ranked.filter(F.col("r") <= rows).select("doc_id", "label")
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, totals: dict[int, int] | None = None) -> Model:
     """Train on at most ``rows`` rows (text, label) of each label 0 and 1, those of the least text hashes.
 
-    Of each class, half of the sample makes the dictionary and the other half the curve. Rows with another label or null
-    text play no part. Without both labels the score is 0.5 for every text.
+    Of each class, half of the sample makes the dictionary and the other half the curve, in which each class counts as
+    much as its rows in ``totals`` (those of ``labelled`` if not given, which may be a sample): the score's prior is that
+    of all labelled rows at any size. Rows with another label or null text play no part. Without both labels the score is
+    0.5 for every text.
     """
     known = labelled.filter("text is not null and label in (0, 1)").select(F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_BYTES).alias("text"))
     best = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("r") <= rows)
@@ -105,7 +120,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     tool = model.start()
     rest = [(1.0, t) for t in by[1][1::2]] + [(0.0, t) for t in by[0][1::2]]
     x, y = np.stack([tool.features(t) for _, t in rest]), np.array([label for label, _ in rest])
-    model.weights = _logistic(x, y)
+    totals = _counts(known) if totals is None else totals
+    share = np.array([totals[0] / (y == 0).sum(), totals[1] / (y == 1).sum()])[y.astype(int)]
+    model.weights = _logistic(x, y, weight=share * len(y) / share.sum())
     return model
 
 

@@ -52,7 +52,7 @@ def op9_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id() % 5 == 0
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
     sample = compress_quality.sample_labels(labels)  # at most TRAIN_ROWS rows of each label
-    model = compress_quality.fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    model = compress_quality.fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), totals=compress_quality.count_labels(docs, labels))
     return compress_quality.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

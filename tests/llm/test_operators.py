@@ -275,6 +275,19 @@ def test_quality(spark):
     assert compress_quality.fit(learned.filter("label = 1")).start().score(b"x") == 0.5
 
 
+def test_quality_prior_is_that_of_all_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = docs.select("doc_id", (crc_of_id() % 5 != 0).cast("int").alias("label"))  # say nothing of the text: the score is the prior
+    learned = docs.join(labels, "doc_id").select("doc_id", "text", "label").cache()
+    totals = compress_quality.count_labels(docs, labels)
+    assert totals == collections.Counter(r.label for r in learned.collect())
+    sample = learned.join(compress_quality.sample_labels(labels, 100).select("doc_id"), "doc_id")
+    assert sample.filter("label = 1").count() == 100 == sample.filter("label = 0").count()
+    for model in (compress_quality.fit(sample, 100, totals), compress_quality.fit(learned, 100)):
+        mean = compress_quality.score(learned, model).agg(F.avg("score")).first()[0]
+        assert abs(mean - totals[1] / (totals[0] + totals[1])) < 0.1, mean
+
+
 def _groups(rows, k):
     sets = {}
     for d, t in rows:
