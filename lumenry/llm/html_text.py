@@ -27,6 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption tr td th".split())
+RUNNING = PROSE - {"li", "tr", "td", "th"}
 NEVER = frozenset("aside button canvas datalist dialog footer form head iframe input label map menu nav noscript object option script select style svg template textarea title audio video".split())
 CLOSES_P = BLOCK - {"body", "html", "dd", "dt", "li", "tbody", "thead", "tfoot", "tr"}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -41,10 +42,10 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "marks", "role", "children", "key")
+    __slots__ = ("tag", "marks", "role", "children", "key", "prose")
 
     def __init__(self, tag: str, attributes: str) -> None:
-        self.tag, self.children, self.key = tag, [], 0
+        self.tag, self.children, self.key, self.prose = tag, [], 0, False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         self.marks = f"{found.get('class', '')} {found.get('id', '')}".lower()
         self.role = found.get("role", "").lower()
@@ -113,19 +114,21 @@ def parse(page: str) -> Element:
 
 def walk(root: Element, host: str) -> Iterator[tuple[Element, bool]]:
     """Elements from the leaves up, with their keys set, and whether they can be template."""
-    order: list[tuple[Element, bool, bool]] = []
+    order: list[tuple[Element, bool, bool, bool]] = []
     todo = [(root, False, False)]
     while todo:
         node, inside, gone = todo.pop()
         inside = inside or node.tag in ("article", "main")
-        order.append((node, inside, gone))
-        gone = gone or node.outside(inside)
+        out = node.outside(inside)
+        order.append((node, inside, gone, out))
+        gone = gone or out
         todo += [(c, inside, gone) for c in node.children if isinstance(c, Element)]
     seed = xxhash.xxh3_64_intdigest(host)
-    for node, inside, gone in reversed(order):
+    for node, inside, gone, out in reversed(order):
+        node.prose = not out and (node.tag in RUNNING or any(isinstance(c, Element) and c.prose for c in node.children))
         words = " ".join(f"\x01{c.key}" if isinstance(c, Element) else " ".join(c.split()) for c in node.children)
         node.key = xxhash.xxh3_64_intdigest(f"{node.tag}\x02{node.marks}\x02{words}", seed) - (1 << 63)
-        eligible = not gone and node.tag not in ("html", "body", "head", "article", "main", "br", "hr", "img", "wbr") and not (inside and (node.tag in PROSE or node.tag not in BLOCK))
+        eligible = not gone and node.tag not in ("html", "body", "head", "article", "main", "br", "hr", "img", "wbr") and not (inside and (node.prose or node.tag in PROSE or node.tag not in BLOCK))
         yield node, eligible and bool(node.children)
 
 
@@ -172,28 +175,32 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, k) for each distinct subtree of a page that could be template; k hashes host and subtree."""
+    """(page_id, body, k) for each distinct subtree of a page that could be template; k hashes host and subtree, body the page's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, 64):
-            ids, keys = [], []
+            ids, bodies, keys = [], [], []
             for page, url, text in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                found = {node.key for node, can in walk(parse(text or ""), host_of(url)) if can}
+                root = parse(text or "")
+                found = {node.key for node, can in walk(root, host_of(url)) if can}
+                body = xxhash.xxh3_64_intdigest(text_of(root, set())) - (1 << 63)
                 ids += [page] * len(found)
+                bodies += [body] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["page_id", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.int64()), pa.array(keys, pa.int64())], names=["page_id", "body", "k"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, k bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, body bigint, k bigint")
 
 
 def extract(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text and n_chars; null html is empty, no url is a host.
 
-    Rows of one page_id share what is found to be template on any of them.
+    Rows of one page_id share what is found to be template on any of them. Pages of a host whose texts are the same before
+    template goes are one page in the counts, so copies of a page don't make its text template.
     """
     rows = materialize(subtree_rows(pages), "subtrees")
-    template = rows.groupBy("k").agg(F.count("*").alias("pages")).filter(F.col("pages") >= many).select("k")
-    own = rows.join(template, "k", "left_semi").groupBy("page_id").agg(F.collect_set("k").alias("template"))  # bounded by a page's elements
+    template = rows.select("k", "body").distinct().groupBy("k").agg(F.count("*").alias("pages")).filter(F.col("pages") >= many).select("k")
+    own = rows.select("page_id", "k").join(template, "k", "left_semi").groupBy("page_id").agg(F.collect_set("k").alias("template"))  # bounded by a page's elements
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, 64):

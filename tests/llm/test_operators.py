@@ -263,6 +263,16 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_keeps_articles_that_repeat(spark):
+    chrome, body = "<div class=intro>Buy</div>", "<div><p>The same words.</p><figure><figcaption>A view</figcaption></figure></div>"
+    pages = [(i, f"http://a/{i}", f"<article><h1>Part {i}</h1>{chrome}<section>{body}</section></article>") for i in range(5)]
+    pages += [(10 + i, f"http://b/?print={i}", f"{chrome}<p>one<p>two") for i in range(5)]  # copies without an article
+    pages += [(20 + i, f"http://c/{i}", f"<p>own {i}</p><div><p>Imprint</div>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), many=3).collect()}
+    for i in range(5):
+        assert got[i] == f"Part {i}\nThe same words.\nA view" and got[10 + i] == "Buy\none\ntwo" and got[20 + i] == f"own {i}", got
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     learned = docs.join(labels.filter(crc_of_id() % 5 != 0).select("doc_id", F.col("quality").alias("label")), "doc_id")
