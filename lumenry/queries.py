@@ -261,6 +261,12 @@ def flame_prefix_sum(spark, sf_dir):
     return profiles.flame(docs, "stack", "one")
 
 
+@query()  # SQL would need the text of every path; a test holds it against brute force
+def flame_whole_stacks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.filter(F.split("text", " "), lambda x: x != "").alias("stack"), F.lit(1).alias("one"))
+    return profiles.flame_nodes(docs, "stack", "one")
+
+
 @query("WITH t AS (SELECT 'l_returnflag' AS dimension, l_returnflag AS item, sum(l_quantity) AS value FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, sum(l_quantity) FROM lineitem GROUP BY 2) SELECT dimension, item, value, printf('%.2f', 100.0 * value / sum(value) OVER (PARTITION BY dimension)) AS percent FROM t")
 def top_dimension_percent(spark, sf_dir):
     totals = profiles.dimension_totals(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")

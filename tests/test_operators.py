@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lumenry import queries
 from lumenry.functions import scalar
 from lumenry.model import POINTS, to_points
 from lumenry.operators import assertions, points, profiles, rules, sampling
@@ -147,6 +148,34 @@ def test_profiles(spark):
     assert (part.package, part.function, part.file, part.line) == ("github.com/a/b", "(*T).Run", "/x/y.go", 12)
 
 
+def _same_tree(rows, stacks):
+    """Whether flame_nodes' rows are the prefix tree of (stack, value) pairs, built by brute force."""
+    ids, sums = {}, {}
+    for stack, value in stacks:
+        at = None
+        for frame in stack:
+            at = ids.setdefault((at, frame), len(ids))
+            sums[at] = sums.get(at, 0) + value
+    found, got = {None: None}, {}
+    for r in sorted(rows, key=lambda r: r.depth):
+        found[bytes(r.node)] = at = ids[found[r.parent and bytes(r.parent)], r.frame]
+        got[at] = r.value
+    return len(rows) == len(ids) and got == sums
+
+
+def test_flame_of_whole_stacks(spark):
+    deep = [f"f{i % 7}" for i in range(30_000)]
+    stacks = [(deep, 2), (deep[:20_000] + ["x"], 3), (["a", "b"], 1), (["a;b"], 1), (["ab"], 5), (["a"], 4), ([], 9), (["a"], 0)]
+    df = spark.createDataFrame(stacks, "stack array<string>, value bigint")
+    assert _same_tree(profiles.flame_nodes(df, "stack", "value").collect(), [s for s in stacks if s[1]])
+    keyed = profiles.flame_nodes(df.withColumn("k", F.col("value") % 2), "stack", "value", ("k",)).filter("k = 1").collect()
+    assert _same_tree(keyed, [s for s in stacks if s[1] % 2])
+    short = {r.path: r.value for r in profiles.flame(df.filter("size(stack) < 3"), "stack", "value").filter("depth = 1").collect()}
+    assert short == {"a": 5, "a;b": 1, "ab": 5}
+    docs = queries.read(spark, "/root/testdata/sf0.001", "documents").collect()
+    assert _same_tree(queries.flame_whole_stacks(spark, "/root/testdata/sf0.001").collect(), [([w for w in (r.text or "").split(" ") if w], 1) for r in docs])
+
+
 def test_pprof_bytes():
     def field(n, v):
         return bytes([n << 3]) + bytes([v]) if isinstance(v, int) else bytes([n << 3 | 2, len(v)]) + v
