@@ -1,6 +1,6 @@
 """A quality score from compression: which of two dictionaries, of good or of bad text, shortens a document more.
 
-zstandard dictionaries are built from a bounded sample of labelled documents. A text is compressed with each; the
+zstandard dictionaries are trained on the whole texts of a bounded sample of labelled documents. A text is compressed with each; the
 difference of the sizes, divided by their sum, is its feature, beside the size without dictionary divided by the length,
 since text that repeats itself shrinks under both. A logistic curve, fitted on labelled documents that the dictionaries
 weren't built from, makes the feature a probability.
@@ -17,10 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import pieces, raw
+from lumenry.llm.common import materialize, pieces, raw
 
-#: Labelled documents per class that training sees at most, the bytes of each, and the size of a dictionary.
-TRAIN_ROWS, TRAIN_BYTES, DICTIONARY_BYTES = 1500, 6000, 96 << 10
+#: Labelled documents per class that training sees at most, and the size of a dictionary.
+TRAIN_ROWS, DICTIONARY_BYTES = 1500, 96 << 10
+#: Bytes of the segments that a dictionary is made of, and of the strings whose frequency chooses them.
+SEGMENT_BYTES, STRING_BYTES = 200, 8
 LEVEL = 3
 #: Bytes of a text that are compressed at once; a longer text's sizes are summed over its blocks.
 BLOCK = 1 << 17
@@ -72,14 +74,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndar
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary's content of DICTIONARY_BYTES: equal shares of as many texts as fill it with stretches of 600 bytes."""
-    parts, size = [], 0
-    for t in texts:
-        parts.append(t[:600])
-        size += len(parts[-1])
-        if size >= DICTIONARY_BYTES:
-            break
-    return b"\n".join(parts)[-DICTIONARY_BYTES:] or b"\n" * 8
+    """A dictionary's content of at most DICTIONARY_BYTES, from the whole texts: all of them if they fit, else the segments
+    whose strings are the most frequent."""
+    if sum(map(len, texts)) + len(texts) <= DICTIONARY_BYTES:
+        return b"\n".join(texts).rjust(8, b"\n")
+    samples = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]  # the trainer's own bound is on a sample
+    samples = [s for s in samples if len(s) >= STRING_BYTES]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT_BYTES, d=STRING_BYTES).as_bytes()
+    except zstandard.ZstdError:  # too few samples to train: stretches at even distances over all the texts
+        whole = b"\n".join(texts)
+        n = DICTIONARY_BYTES // SEGMENT_BYTES
+        return b"".join(whole[at : at + SEGMENT_BYTES] for at in (i * (len(whole) - SEGMENT_BYTES) // (n - 1) for i in range(n)))
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -95,6 +101,12 @@ def _counts(rows: DataFrame) -> dict[int, int]:
     return {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
 
 
+def _train(table: pa.Table) -> pa.Table:
+    """A label's dictionary, from its rows (label, r, text)."""
+    texts = table.sort_by("r").column("text").cast(pa.binary()).to_pylist()
+    return pa.table({"label": table.column("label")[:1], "content": pa.array([dictionary(texts)], pa.binary())})
+
+
 def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` of the labels (doc_id, label) 0 and 1 each, those of the least id hashes: so few that their join
     with the documents moves no text."""
@@ -110,16 +122,24 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, totals: dict[int, int] | No
     of all labelled rows at any size. Rows with another label or null text play no part. Without both labels the score is
     0.5 for every text.
     """
-    known = labelled.filter("text is not null and label in (0, 1)").select(F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_BYTES).alias("text"))
+    known = labelled.filter("text is not null and label in (0, 1)").select(F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"), "text")
     best = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("r") <= rows)
-    sample = [(r["label"], r["text"].encode()) for r in best.orderBy("label", "h").select("label", "text").collect()]
-    by = [[t for y, t in sample if y == label] for label in (0, 1)]
-    if min(map(len, by)) < 2:
+    best = materialize(best.select("label", "r", "text"), "quality-sample")
+    taken = _counts(best)
+    if min(taken.get(0, 0), taken.get(1, 0)) < 2:
         return Model(b"\n" * 8, b"\n" * 8, np.zeros(0))
-    model = Model(dictionary(by[1][::2]), dictionary(by[0][::2]), np.zeros(1))
-    tool = model.start()
-    rest = [(1.0, t) for t in by[1][1::2]] + [(0.0, t) for t in by[0][1::2]]
-    x, y = np.stack([tool.features(t) for _, t in rest]), np.array([label for label, _ in rest])
+    made = dict(best.filter("r % 2 = 1").groupBy("label").applyInArrow(_train, "label int, content binary").collect())  # half a sample each
+    model = Model(bytes(made[1]), bytes(made[0]), np.zeros(1))
+    shared = known.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = shared.value.start()
+        for piece in pieces(batches):
+            got = [tool.features(t).tolist() for t in raw(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays([piece.column("label"), piece.column("r"), pa.array(got, pa.list_(pa.float64()))], names=["label", "r", "x"])
+
+    rest = sorted(best.filter("r % 2 = 0").mapInArrow(measure, "label int, r int, x array<double>").collect())  # no text comes to the driver
+    x, y = np.array([r["x"] for r in rest]), np.array([float(r["label"]) for r in rest])
     totals = _counts(known) if totals is None else totals
     share = np.array([totals[0] / (y == 0).sum(), totals[1] / (y == 1).sum()])[y.astype(int)]
     model.weights = _logistic(x, y, weight=share * len(y) / share.sum())

@@ -298,6 +298,23 @@ def test_quality_prior_is_that_of_all_labels(spark):
         assert abs(mean - totals[1] / (totals[0] + totals[1])) < 0.1, mean
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rnd = random.Random(6)
+    word = lambda a, n: " ".join(a + str(rnd.randrange(300)) for _ in range(n))
+    # the first 7,000 characters say nothing
+    stock = [[word(own, 12) for _ in range(40)] for own in ("evil", "good")]
+    rows = [(i, word("same", 1200) + " " + " ".join(rnd.choice(stock[i % 2]) for _ in range(40)), i % 2) for i in range(120)]
+    assert all(len(t[:7000]) == 7000 and "good" not in t[:7000] and "evil" not in t[:7000] for _, t, _ in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = compress_quality.fit(docs.filter("doc_id < 80"))
+    assert b"good" in model.good and b"evil" in model.bad
+    rows = compress_quality.score(docs.filter("doc_id >= 80"), model).collect()
+    good, bad = ([r.score for r in rows if r.doc_id % 2 == q] for q in (1, 0))
+    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.95
+    few = [rnd.randbytes(60_000), b"", b"x" + rnd.randbytes(70_000)]
+    assert 8 <= len(compress_quality.dictionary([])) and 90_000 < len(compress_quality.dictionary(few)) <= compress_quality.DICTIONARY_BYTES
+
+
 def _groups(rows, k):
     sets = {}
     for d, t in rows:
