@@ -54,7 +54,7 @@ _ANY = "struct<stringValue: string, intValue: string, doubleValue: double, boolV
 _ATTRS = f"array<struct<key: string, value: {_ANY}>>"
 _POINT = f"struct<attributes: {_ATTRS}, timeUnixNano: string, asDouble: double, asInt: string, count: string, sum: double, min: double, max: double, bucketCounts: array<string>, explicitBounds: array<double>, quantileValues: array<struct<quantile: double, value: double>>>"
 _DATA = f"struct<dataPoints: array<{_POINT}>, aggregationTemporality: string>"
-OTLP_METRICS = f"struct<resourceMetrics: array<struct<resource: struct<attributes: {_ATTRS}>, scopeMetrics: array<struct<scope: struct<name: string, version: string, attributes: {_ATTRS}>, metrics: array<struct<name: string, unit: string, description: string, gauge: {_DATA}, sum: {_DATA}, histogram: {_DATA}, summary: {_DATA}>>>>>>>"
+OTLP_METRICS = f"struct<resourceMetrics: array<struct<resource: struct<attributes: {_ATTRS}>, scopeMetrics: array<struct<scope: struct<name: string, version: string, attributes: {_ATTRS}>, metrics: array<struct<name: string, unit: string, description: string, gauge: {_DATA}, sum: {_DATA}, histogram: {_DATA}, exponentialHistogram: {_DATA}, summary: {_DATA}>>>>>>>"
 _EVENT = f"struct<name: string, timeUnixNano: string, attributes: {_ATTRS}>"
 OTLP_TRACES = f"struct<resourceSpans: array<struct<resource: struct<attributes: {_ATTRS}>, scopeSpans: array<struct<scope: struct<name: string, version: string>, spans: array<struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: int, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {_ATTRS}, events: array<{_EVENT}>, status: struct<code: int, message: string>>>>>>>>"
 OTLP_LOGS = f"struct<resourceLogs: array<struct<resource: struct<attributes: {_ATTRS}>, scopeLogs: array<struct<scope: struct<name: string>, logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: int, severityText: string, body: {_ANY}, attributes: {_ATTRS}, traceId: string, spanId: string>>>>>>>"
@@ -92,12 +92,12 @@ def otlp_metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     """OTLP metric requests in JSON to (name, kind, field, tags, value, time_ns).
 
     Gauges and sums give their value; histograms and summaries ``_count``, ``_sum``, ``_min``, ``_max`` (null if unset)
-    and cumulative buckets or quantiles. Resource attributes win over those of scope and point.
+    and cumulative buckets or quantiles; exponential histograms ``_avg`` (if they count anything) instead of buckets. Resource attributes win over those of scope and point.
     """
     r = bodies.select(F.explode(F.from_json(column, OTLP_METRICS)["resourceMetrics"]).alias("r"))
     s = r.select(attributes(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeMetrics").alias("s"))
     m = s.select("ra", attributes(F.col("s.scope.attributes")).alias("sa"), F.explode("s.metrics").alias("m"))
-    kinds = ("gauge", "sum", "histogram", "summary")
+    kinds = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
     data = F.filter(F.array(*(_named(kind=F.lit(k), points=F.col(f"m.{k}.dataPoints"), temporality=F.col(f"m.{k}.aggregationTemporality")) for k in kinds)), lambda x: x["points"].isNotNull())
     p = m.select("ra", "sa", F.col("m.name").alias("name"), F.inline(data)).select("ra", "sa", "name", "kind", "temporality", F.explode("points").alias("p"))
     own = F.when(F.col("temporality").isNotNull(), F.create_map(F.lit("temporality"), F.col("temporality"))).otherwise(F.expr("cast(map() as map<string,string>)"))
@@ -109,8 +109,10 @@ def otlp_metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     quantiles = F.transform(F.col("p.quantileValues"), lambda q: entry("", q["value"], q["quantile"].cast("string")))
     plain = F.array(entry("", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))))
     rest = F.array(entry("_count", F.col("p.count")), entry("_sum", F.col("p.sum")), entry("_min", F.col("p.min")), entry("_max", F.col("p.max")))
+    count = F.col("p.count").cast("double")
+    average = F.array(entry("_avg", F.when(count > 0, F.coalesce(F.col("p.sum"), F.lit(0.0)) / count)))
     none = F.expr("cast(array() as array<struct<field: string, value: double, le: string>>)")
-    entries = F.when(F.col("kind").isin("gauge", "sum"), plain).when(F.col("kind") == "histogram", F.concat(rest, F.coalesce(buckets, none))).otherwise(F.concat(F.slice(rest, 1, 2), F.coalesce(quantiles, none)))
+    entries = F.when(F.col("kind").isin("gauge", "sum"), plain).when(F.col("kind") == "histogram", F.concat(rest, F.coalesce(buckets, none))).when(F.col("kind") == "exponentialHistogram", F.concat(rest, average)).otherwise(F.concat(F.slice(rest, 1, 2), F.coalesce(quantiles, none)))
     rows = p.select("name", "kind", tags.alias("tags"), F.col("p.timeUnixNano").cast("bigint").alias("time_ns"), F.inline(entries))
     return rows.filter("value is not null").select("name", "kind", "field", "tags", "le", "value", "time_ns")
 

@@ -234,6 +234,15 @@ def test_json_points_and_otlp(spark):
     assert [(r.message, r.status, r.time_ns) for r in out] == [("abcd", "error", 5), ("ef", "error", 1_000_005)]
 
 
+def test_otlp_exponential_histogram(spark):
+    point = {"timeUnixNano": "9", "count": "4", "sum": 6.0, "min": 0.5, "max": 3.0, "scale": 1, "zeroCount": "0", "positive": {"offset": -2, "bucketCounts": ["1", "3"]}}
+    data = {"name": "e", "exponentialHistogram": {"aggregationTemporality": 2, "dataPoints": [point, {"timeUnixNano": "10", "count": "0"}]}}
+    body = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [data]}]}]}
+    rows = formats.otlp_metrics(spark.createDataFrame([(json.dumps(body),)], "value string")).collect()
+    assert {(r.field, r.time_ns): r.value for r in rows} == {("e_count", 9): 4, ("e_sum", 9): 6, ("e_min", 9): 0.5, ("e_max", 9): 3, ("e_avg", 9): 1.5, ("e_count", 10): 0}
+    assert {r.kind for r in rows} == {"exponentialHistogram"}
+
+
 def test_points_round_trip_and_query(spark):
     df = _frame(spark, [1, 2, 3])
     pts = to_points(df, "g", "ts", ["g"], ["v", "id"])
