@@ -62,6 +62,16 @@ def hashed_lines(docs: DataFrame, host: str) -> DataFrame:
     return rows.select("doc_id", F.inline(marked))
 
 
+def _frequent(lines: DataFrame, most_docs: int) -> DataFrame:
+    """Hashes of lines in more than ``most_docs`` documents: rows of one doc_id are one document, rows without are none.
+
+    Only lines in more rows than that can be in more documents, so only theirs are counted by doc_id.
+    """
+    often = lines.groupBy("k").agg(F.sum("first").alias("rows")).filter(F.col("rows") > most_docs).select("k")
+    pairs = lines.filter("first = 1 and doc_id is not null").join(often, "k", "left_semi").select("k", "doc_id").distinct()
+    return pairs.groupBy("k").agg(F.count("*").alias("docs")).filter(F.col("docs") > most_docs).select("k")
+
+
 def rules(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, most_removed: int = MOST_REMOVED) -> DataFrame:
     """The base rules' columns, then kept and n_chars_removed.
 
@@ -69,7 +79,7 @@ def rules(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, mos
     of one doc_id lose is added up, and rows without a doc_id are never depleted.
     """
     lines = hashed_lines(docs, host)
-    frequent = lines.groupBy("k").agg(F.sum("first").alias("docs")).filter(F.col("docs") > most_docs).select("k")
+    frequent = _frequent(lines, most_docs)
     removed = lines.join(frequent, "k", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("removed"))
     joined = base_rules(docs).join(removed, "doc_id", "left")
     depleted = F.coalesce(100 * F.col("removed") > most_removed * F.col("line_chars"), F.lit(False))
@@ -82,7 +92,7 @@ def clean(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS) ->
     The removed hashes of a document are gathered by doc_id, which its own lines bound.
     """
     lines = hashed_lines(docs, host)
-    frequent = lines.groupBy("k").agg(F.sum("first").alias("docs")).filter(F.col("docs") > most_docs).select("k")
+    frequent = _frequent(lines, most_docs)
     gone = lines.join(frequent, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
     normal = lambda x: F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("")), F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
     joined = docs.select("doc_id", host, "text").join(gone, "doc_id", "left")

@@ -97,6 +97,15 @@ def test_line_rules(spark, table, docs):
     assert "Python" not in line_rules.rules(rows)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_rules_count_documents_not_rows(spark):
+    text = "a line\nan other line"
+    rows = [(1, text, "s")] * 9 + [(None, text, "s")] * 9 + [(i, "shared line", "s") for i in range(10, 14)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = line_rules.rules(frame, most_docs=3).collect()
+    assert all(r.n_chars_removed == (0 if r.doc_id is None or r.doc_id < 10 else 11) for r in got) and len(got) == len(rows)
+    assert {(r.doc_id, r.text) for r in line_rules.clean(frame, most_docs=3).collect()} == {(1, text), (None, text), *((i, "") for i in range(10, 14))}
+
+
 def test_bpe(spark, table, docs):
     tok = Tokenizer.from_file(BYTE)
     got = {r.doc_id: r for r in bpe_verify.round_trip(table, BYTE).collect()}
