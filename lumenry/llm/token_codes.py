@@ -134,7 +134,8 @@ class LibraryEncoder:
     """The tokenizers library's ids of whole texts, from tables of the pieces met before.
 
     The library runs on pieces between single spaces or line ends, which its normalizer and pre-tokenizer never join; a
-    test holds this against encoding whole texts. Texts with the information separators U+001C to U+001F go to it whole.
+    test holds this against encoding whole texts. Texts with the information separators U+001C to U+001F go to it whole, as
+    do all texts if the tokenizer isn't one that is known to discard white space (``plain``).
     """
 
     _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -181,7 +182,7 @@ class LibraryEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian integers of the width of ``kind``."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.plain or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 

@@ -56,6 +56,13 @@ def test_token_codes(spark, table, docs):
     assert token_codes.token_table(_empty(spark), WORD).count() == 0
 
 
+def test_token_codes_keep_white_space(spark, table, docs):
+    tok = Tokenizer.from_file(BYTE)
+    got = {r.doc_id: r.ids_crc32 for r in token_codes.token_table(table, BYTE, None).collect()}
+    assert got == {d: zlib.crc32(np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for d, t in docs}
+    assert token_codes.encoder(WORD).plain and not token_codes.encoder(BYTE).plain
+
+
 def test_codes_random_access():
     rnd = random.Random(4)
     for n, top in itertools.product((0, 1, 2, 511, 513, 3000), (1, 2, 300, 49_408, (1 << 32) - 1)):
