@@ -2,17 +2,22 @@
 
 Texts with equal shingle sets are one representative from the start. Banded signatures put representatives into buckets;
 pairs of a bucket are compared signature batch by signature batch, and dropped once the posterior probability that their
-similarity reaches the threshold is below ``miss``; survivors are verified on their full shingle sets. No bucket expands
-into all its pairs: first each member meets the bucket's least member, and what that links is one component; then only
-pairs across components are compared, in blocks inside a task, which gives the likeliest pairs that would join them; and
-what still stands apart is verified on full texts inside the blocks. All that leaves a task is linear in its rows. So no link that joins two components is left out, but for
-``miss`` a batch and the chance of sharing no band, (1 - s**4)**32, which is under 5e-8 at similarity 0.8.
+similarity reaches the threshold is below ``miss``; survivors are verified on their full shingle sets.
+
+No bucket expands into all its pairs. Star rounds come first: each member meets one leader of its bucket, the likeliest
+leader of each is verified, and links merge components. Then only members of different components are left to compare,
+each pair in the first bucket it shares. Of a bucket, the members outside its largest component, the minor ones, meet
+all others in chunks of CHUNK members, so the rows dealt out are at most twice the bucket's as long as there are no more
+minor ones than a chunk holds. A bucket with more minor ones is first keyed anew by each further band. Pairs that still
+survive are verified in these chunks, the likeliest first, until links join their components.
+
+What can be missed is ``miss`` for each batch, and pairs that share no band or, in buckets keyed anew, only one: for
+similarity s, (1 - s**4)**40 and 40 * s**4 * (1 - s**4)**39, which at s = 0.8 are 7e-10 and 2e-8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -24,13 +29,16 @@ from lumenry.llm.common import Lookup, hashes, materialize, mix, pieces, raw, wo
 from lumenry.llm.components import components
 from lumenry.llm.texts import packed_texts, unpack
 
-BANDS, BAND_ROWS, BATCH = 32, 4, 32
+BANDS, BAND_ROWS, BATCH = 40, 4, 32
 PERMUTATIONS = BANDS * BAND_ROWS
 MISS = 1e-8
-BLOCK_MEMBERS = 400
+#: Members of a bucket that meet in one step, and star rounds before the others are compared.
+CHUNK, STAR_ROUNDS = 1024, 2
+#: Bytes of shingle sets that a task keeps at hand.
+SETS_BYTES = 64 << 20
 _random = np.random.default_rng(20240229)
-MULTIPLY = _random.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+MULTIPLY = _random.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
 BAND_BASE = mix(np.arange(1, BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 BAND_SALT = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -48,12 +56,27 @@ def shingles(words: list[bytes], size: int, known: Lookup) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(sets: np.ndarray) -> np.ndarray:
-    """Minima of ``PERMUTATIONS`` multiply-add hashes, blockwise so that long texts need little memory."""
-    low = np.full(PERMUTATIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(sets), 1024):
-        np.minimum(low, (sets[at : at + 1024, None] * MULTIPLY + ADD).min(axis=0), out=low)
-    return low >> np.uint64(32)
+class Signer:
+    """Minima of ``PERMUTATIONS`` multiply-add hashes, in blocks so that long texts need little memory."""
+
+    rows = 512
+
+    def __init__(self) -> None:
+        self.space = np.empty((self.rows, PERMUTATIONS), np.uint32)
+
+    def signature(self, sets: np.ndarray) -> np.ndarray:
+        low, short = np.full(PERMUTATIONS, np.uint32(0xFFFFFFFF)), (sets >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(short), self.rows):
+            part = short[at : at + self.rows, None]
+            space = self.space[: len(part)]
+            np.multiply(part, MULTIPLY, out=space)
+            space += ADD
+            np.minimum(low, space.min(axis=0), out=low)
+        return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    return mix((low.astype(np.uint64).reshape(BANDS, BAND_ROWS) * BAND_BASE).sum(axis=1) ^ BAND_SALT).view(np.int64)
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -76,7 +99,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, x1, x2, sig, bands) of all rows; the last four are null where there is no word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_hashes()
+        known, signer = word_hashes(), Signer()
         for piece in pieces(batches):
             n, x1, x2, sig, bands = [], [], [], [], []
             for text in raw(piece.column("text")):
@@ -87,9 +110,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     continue
                 x1.append(int(mix(sets).sum().view(np.int64)))
                 x2.append(int(mix(sets ^ _STEP).sum().view(np.int64)))
-                low = signature(sets)
+                low = signer.signature(sets)
                 sig.append(low.astype(np.uint8).tobytes())
-                bands.append(mix((low.reshape(BANDS, BAND_ROWS) * BAND_BASE).sum(axis=1) ^ BAND_SALT).view(np.int64))
+                bands.append(band_keys(low))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(x1, pa.int64()), pa.array(x2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "x1", "x2", "sig", "bands"],
@@ -98,10 +121,26 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, x1 bigint, x2 bigint, sig binary, bands array<bigint>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
 
 
+def _survive(sig_a: np.ndarray, sig_b: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of rows ``a`` and ``b`` those that sequential comparison leaves, and their matching hashes."""
+    matches = np.zeros(len(a), np.int64)
+    for k, bound in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches += (sig_a[a, part] == sig_b[b, part]).sum(axis=1)
+        keep = matches >= bound
+        a, b, matches = a[keep], b[keep], matches[keep]
+    return a, b, matches
+
+
+def _alike(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can be so similar."""
+    return np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+
+
 def prune(pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, matches) of the pairs (a, b, sig_a, sig_b, n_a, n_b) that sequential comparison leaves."""
     least = least_matches(threshold)
@@ -110,65 +149,72 @@ def prune(pairs: DataFrame, threshold: float) -> DataFrame:
         for piece in pieces(batches, 4096):
             if not piece.num_rows:
                 continue
-            x, y = _matrix(piece.column("sig_a")), _matrix(piece.column("sig_b"))
-            n, m = piece.column("n_a").to_numpy(), piece.column("n_b").to_numpy()
-            live = np.nonzero(np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)[0]
-            matches = np.zeros(len(live), np.int64)
-            for k, bound in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches += (x[live, part] == y[live, part]).sum(axis=1)
-                live, matches = live[matches >= bound], matches[matches >= bound]
+            live = np.nonzero(_alike(piece.column("n_a").to_numpy(), piece.column("n_b").to_numpy(), threshold))[0]
+            live, _, matches = _survive(_matrix(piece.column("sig_a")), _matrix(piece.column("sig_b")), live, live, least)
             yield pa.RecordBatch.from_arrays([piece.column("a").take(pa.array(live)), piece.column("b").take(pa.array(live)), pa.array(matches)], names=["a", "b", "matches"])
 
     return pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint, matches bigint")
 
 
-def across(members: DataFrame, threshold: float, mode: str, size: int, percent: int) -> DataFrame:
+def deal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of mixed buckets, dealt into chunks; and the buckets with more minor members than a chunk holds, as they are.
+
+    A chunk (key, chunk) holds its own members (``home``) and all minor ones of the bucket (``minor``).
+    """
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("key").agg(F.max_by("comp", "n").alias("major"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps"))
+    sizes = materialize(sizes.filter("comps > 1").drop("comps"), "sizes")
+    sized = rows.join(sizes, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    heavy = sized.filter(F.col("size") - F.col("most") > CHUNK)
+    return _chunks(sized.filter(F.col("size") - F.col("most") <= CHUNK)), heavy
+
+
+def _chunks(sized: DataFrame) -> DataFrame:
+    count = F.ceil(F.col("size") / CHUNK).cast("int")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), count).cast("int"))
+    dealt = sized.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), count - 1)).otherwise(F.array("own"))))
+    return dealt.withColumn("home", F.col("own") == F.col("chunk")).drop("own", "size", "most", "major")
+
+
+def rekeyed(heavy: DataFrame) -> DataFrame:
+    """The rows once for each band after the bucket's own, with a key of both."""
+    further = heavy.select("band", "doc_id", "comp", "n_shingles", "sig", "marks", F.col("key").alias("first"), F.posexplode("marks").alias("second", "mark")).filter("second > band")
+    return further.select(F.xxhash64("first", "second", "mark").alias("key"), "band", "second", "doc_id", "comp", "n_shingles", "sig", "marks")
+
+
+def across(dealt: DataFrame, threshold: float, exact: tuple[int, int] | None = None) -> DataFrame:
     """What sequential comparison leaves between different components of one bucket, never as all its pairs.
 
-    ``members``: (key, doc_id, comp, n_shingles, sig, size) of buckets with two components or more, for "exact" also
-    their texts as blob. A bucket of ``size`` members is dealt into blocks, and each two blocks meet in a task, so a large
-    bucket is work for many tasks. Modes: "forest" gives the likeliest pairs (a, b) that would join the block's
-    components, fewer than these; "who" the rows (key as a, doc_id as b) that take part in any pair; "exact" verifies
-    pairs on full shingle sets in the task, the likeliest first, until none is left between components that its links
-    haven't joined, and gives these links.
+    ``dealt``: (key, chunk, home, minor, band, second, doc_id, comp, n_shingles, sig, marks). Without ``exact``, the rows
+    (key, doc_id) that take part in any pair. With it, (shingle size, percent), the rows have texts as blob; pairs are
+    verified on full shingle sets, the likeliest first, until links join their components: these links (a, b).
     """
     least = least_matches(threshold)
-    carry = ["blob"] if mode == "exact" else []
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "n_shingles", "sig", *carry)
 
     def survivors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, doc, comp, n = (t.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n_shingles"))
-        sig = _matrix(t.column("sig"))
-        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        doc, comp, n = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles"))
+        minor, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("minor", "home"))
+        band, second = t.column("band")[0].as_py(), t.column("second")[0].as_py()
+        sig, marks = _matrix(t.column("sig")), t.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        earlier = [j for j in range(band if second is None else second) if j != band]
+        left, right = np.nonzero(minor)[0], np.nonzero(home)[0]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(left), 64):
             rows = left[at : at + 64]
-            ok = (comp[rows, None] != comp[right]) & (np.minimum(n[rows, None], n[right]) >= threshold * np.maximum(n[rows, None], n[right]) - 1e-9)
-            if i == j:
-                ok &= doc[rows, None] < doc[right]
+            ok = (comp[rows, None] != comp[right]) & _alike(n[rows, None], n[right], threshold) & (~minor[right] | (doc[rows, None] < doc[right]))
             a, b = np.nonzero(ok)
-            a, b = rows[a], right[b]
-            matches = np.zeros(len(a), np.int64)
-            for k, bound in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches += (sig[a, part] == sig[b, part]).sum(axis=1)
-                keep = matches >= bound
-                a, b, matches = a[keep], b[keep], matches[keep]
-            found.append((a, b, matches))
+            a, b, matches = _survive(sig, sig, rows[a], right[b], least)
+            first = ~(marks[np.ix_(np.unique(a), earlier)][np.searchsorted(np.unique(a), a)] == marks[b][:, earlier]).any(axis=1)  # not met in an earlier bucket
+            found.append((a[first], b[first], matches[first]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
     def compare(group: list[pa.RecordBatch], known: Lookup) -> pa.RecordBatch:
         t = pa.Table.from_batches(group).combine_chunks()
         a, b, matches = survivors(t)
         doc, comp = t.column("doc_id").to_numpy(), t.column("comp").to_numpy()
-        if mode == "who":
+        if not exact:
             seen = np.unique(doc[np.concatenate((a, b))])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), t.column("key")[0].as_py())), pa.array(seen)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), t.column("key")[0].as_py())), pa.array(seen)], names=["key", "doc_id"])
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -177,14 +223,24 @@ def across(members: DataFrame, threshold: float, mode: str, size: int, percent:
                 x = up
             return x
 
-        @lru_cache(maxsize=256)
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
         def shingled(row: int) -> np.ndarray:
-            return shingles(unpack(t.column("blob")[row].as_py()).lower().split(), size, known)
+            nonlocal held
+            if (got := sets.get(row)) is None:
+                got = shingles(unpack(t.column("blob")[row].as_py()).lower().split(), exact[0], known)
+                if held > SETS_BYTES:
+                    sets.clear()
+                    held = 0
+                sets[row] = got
+                held += got.nbytes
+            return got
 
         out: list[tuple[int, int]] = []
         for k in np.argsort(-matches, kind="stable").tolist():
             p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
-            if p != q and (mode == "forest" or _linked(shingled(int(a[k])), shingled(int(b[k])), percent)):
+            if p != q and _linked(shingled(int(a[k])), shingled(int(b[k])), exact[1]):
                 root[max(p, q)] = min(p, q)
                 out.append((int(doc[a[k]]), int(doc[b[k]])))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -195,7 +251,7 @@ def across(members: DataFrame, threshold: float, mode: str, size: int, percent:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = [np.asarray(batch.column(c)) for c in ("key", "i", "j")]
+            marks = [np.asarray(batch.column(c)) for c in ("key", "chunk")]
             cuts = [0, *(np.nonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0))[0] + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 mark = tuple(int(m[x]) for m in marks)
@@ -207,7 +263,7 @@ def across(members: DataFrame, threshold: float, mode: str, size: int, percent:
         if held:
             yield compare(held, known)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a bigint, b bigint" if exact else "key bigint, doc_id bigint")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -238,7 +294,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
     of_a, of_b = texts.toDF("a", "blob_a"), texts.toDF("b", "blob_b")
-    return pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -251,41 +307,56 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     threshold = percent / 100
     every = materialize(sketches(docs, size), "sketches")
     full = every.filter("sig is not null and doc_id is not null")
-    copies = full.groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = materialize(reps.select("doc_id", F.explode("bands").alias("key")), "bands")
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("size")).filter("leader < last").select("key", "leader", "size")
+    copies = materialize(full.groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+    alone = full.join(copies, ["x1", "x2"], "left").filter("rep is null or rep = doc_id")
+    reps = materialize(alone.select("doc_id", "n_shingles", "sig", "bands").distinct(), "representatives")
+    rows = materialize(reps.select("doc_id", F.posexplode("bands").alias("band", "key")), "bands")
+    buckets = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").drop("last"), "buckets")
     members = materialize(rows.join(buckets, "key"), "members")
     involved = members.select("doc_id").distinct()
-    signs = materialize(full.select("doc_id", "n_shingles", "sig").join(involved, "doc_id", "left_semi"), "signatures")
+    marks = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks")
+    signs = materialize(reps.join(involved, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", marks), "signatures")
     texts = materialize(packed_texts(docs.filter("doc_id is not null")).join(involved, "doc_id", "left_semi"), "texts")
 
-    of_a, of_b = (signs.toDF(x, f"n_{x}", f"sig_{x}") for x in "ab")
-    stars = members.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = prune(stars.join(of_a, "a").join(of_b, "b"), threshold).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
-    links = materialize(verify(likely, texts, size, percent), "links")
-    labels = components(links)
+    def star(pairs: DataFrame) -> DataFrame:
+        """Verified links of members with the likeliest of their leaders."""
+        of_a, of_b = (signs.select("doc_id", "n_shingles", "sig").toDF(x, f"n_{x}", f"sig_{x}") for x in "ab")
+        likely = prune(pairs.distinct().join(of_a, "a").join(of_b, "b"), threshold).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+        return materialize(verify(likely, texts, size, percent), "links")
 
-    def mixed() -> DataFrame:
-        """Members of buckets that still have several components."""
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and the members of buckets that still have several."""
+        labels = materialize(components(links), "labels")
         own = labels.select(F.col("node").alias("doc_id"), "component")
-        known = members.select("key", "doc_id", "size").join(own, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        several = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        return known.join(several, "key", "left_semi").join(signs, "doc_id")
-
-    likely = across(mixed(), threshold, "forest", size, percent).distinct()
-    more = materialize(verify(likely, texts, size, percent), "links")
-    if not more.isEmpty():
+        known = materialize(members.select("key", "band", "doc_id").join(own, "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "labelled")
+        several = materialize(known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key"), "several")
+        return labels, materialize(known.join(several, "key", "left_semi"), "mixed")
+
+    links = star(members.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
+    labels, mixed = labelled(links)
+    for k in range(1, STAR_ROUNDS):
+        by = F.xxhash64("key", "doc_id", F.lit(k))  # another leader in each bucket
+        leaders = materialize(mixed.groupBy("key").agg(F.min_by("doc_id", by).alias("a"), F.min_by("comp", by).alias("of")), "leaders")
+        more = star(mixed.join(leaders, "key").filter("comp <> of").select("a", F.col("doc_id").alias("b")))
+        if more.isEmpty():
+            break
         links = links.union(more)
-        labels = components(links)
-    rest = materialize(mixed(), "mixed")
-    who = materialize(across(rest, threshold, "who", size, percent).distinct().toDF("key", "doc_id"), "who")
+        labels, mixed = labelled(links)
+    rows = mixed.join(signs, "doc_id").withColumn("second", F.lit(None).cast("int"))
+    dealt, heavy = deal(rows)
+    dealt = materialize(dealt, "dealt")
+    heavy = materialize(heavy, "heavy")
+    if not heavy.isEmpty():
+        light, still = deal(rekeyed(heavy))
+        dealt = materialize(dealt.unionByName(light).unionByName(_chunks(still)), "dealt")
+    who = materialize(across(dealt, threshold).distinct(), "who")
     if not who.isEmpty():
-        chosen = rest.join(who, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
-        more = materialize(across(chosen, threshold, "exact", size, percent).distinct(), "links")
+        chosen = dealt.join(who, ["key", "doc_id"], "left_semi").join(texts, "doc_id")
+        more = materialize(across(chosen, threshold, (size, percent)).distinct(), "links")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = materialize(components(links.union(more)), "labels")
     # every text's representative, then that one's component
-    found = every.select("doc_id", "n_shingles", "x1", "x2").join(copies, ["x1", "x2"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = full.select("doc_id", "n_shingles", "x1", "x2").join(copies, ["x1", "x2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    found = found.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    others = every.filter("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

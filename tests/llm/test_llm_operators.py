@@ -355,8 +355,9 @@ def _groups(rows, k):
     return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
 
 
-def test_near_duplicates(spark, table, docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 7)
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_near_duplicates(spark, table, docs, monkeypatch, chunk):
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
     rnd, rows, d = random.Random(5), [], 0
     for size in (30, 120, 60):
         base = [f"w{rnd.randrange(500)}" for _ in range(size)]
