@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,12 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lumenry.llm.common import pieces
+from lumenry.llm.common import keep, pieces
 
 #: The pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks of each of two generations of a worker's table, and pre-tokens of another, about 250 bytes each.
-KNOWN_CHUNKS, KNOWN_PARTS = 400_000, 400_000
+#: Chunks of each of two generations of a worker's table, and pre-tokens of another, about 200 bytes each.
+KNOWN_CHUNKS, KNOWN_PARTS = 250_000, 250_000
+#: Characters beyond which a chunk or pre-token isn't kept.
+LONG = 128
 #: Bytes up to which merging scans rather than keeps a heap.
 SHORT = 32
 
@@ -65,9 +68,10 @@ class SpeculativeBPE:
         self.split = regex.compile(PATTERN)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.failed = 0
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        # ids as bytes, which take less memory than tuples and are joined at once
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.rank_of = {pair: rank for pair, (rank, _) in self.merge_of.items()}
         self.made_by = {rank: made for rank, made in self.merge_of.values()}
         self.byte_ids = [self.id_of[bytes([i])] for i in range(256)]
@@ -170,7 +174,7 @@ class SpeculativeBPE:
             failing[word[inner[~ok[which]]]] = True
             self.failed += int(failing.sum())
             for p, d, ids, bad in zip(block, data, proposed, failing.tolist(), strict=True):
-                self.parts[p] = tuple(self.merge(d) if bad else ids)
+                self.parts[p] = array("i", self.merge(d) if bad else ids).tobytes()
 
     def _split(self, chunk: str) -> list[str]:
         """Pre-tokens; beyond Latin, where Unicode versions could differ, those of the library itself."""
@@ -203,8 +207,11 @@ class SpeculativeBPE:
                 self.parts = {p: self.parts[p] for p in needed & self.parts.keys()}
             self.learn(missing)
             parts = self.parts
+            long = [p for p in missing if len(p) > LONG]
             for c, x in zip(fresh[at : at + 20_000], split, strict=True):
-                self.known[c] = parts[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(parts.__getitem__, x)))
+                self.known[c] = parts[x[0]] if len(x) == 1 else b"".join(map(parts.__getitem__, x))
+            for p in long:
+                del parts[p]
 
     def chunks(self, text: str) -> list[str]:
         """Pieces between which no pre-token reaches; special tokens stand alone."""
@@ -219,18 +226,24 @@ class SpeculativeBPE:
                 out += self._chunks.findall(s)
         return out
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+    def forget(self) -> None:
+        self.known, self.older, self.parts = {}, {}, {}
+
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         split = [self.chunks(t) for t in texts]
         needed = set().union(*split)
-        gc.disable()  # many tuples and no cycles
+        gc.disable()  # many lists and no cycles
         try:
             self.prepare(needed - self.special.keys())
         finally:
             gc.enable()
         for special, i in self.special.items():
-            self.known[special] = (i,)
+            self.known[special] = array("i", [i]).tobytes()
         for x in split:
-            yield list(chain.from_iterable(map(self.known.__getitem__, x)))
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32)
+        for long in [x for x in needed if len(x) > LONG]:
+            self.known.pop(long, None)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -263,9 +276,10 @@ def encode_column(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(tokenizer_path)
-        for piece in pieces(batches):
+        keep("bpe", own.forget)
+        for piece in pieces(batches, owner="bpe"):
             texts = [t or "" for t in piece.column("text").to_pylist()]
-            ids = [np.array(x, np.int32) for block in _batches(texts) for x in own.encode_batch(block)]
+            ids = [x for block in _batches(texts) for x in own.encode_batch(block)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -280,10 +294,11 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(tokenizer_path)
-        for piece in pieces(batches):
+        keep("bpe", own.forget)
+        for piece in pieces(batches, owner="bpe"):
             n, a, b = [], [], []
             for block in _batches([t or "" for t in piece.column("text").to_pylist()]):
-                for ids in own.encode_batch(block):
+                for ids in map(np.ndarray.tolist, own.encode_batch(block)):
                     n.append(len(ids))
                     a.append(hashlib.sha256(",".join(map(own.text_of.__getitem__, ids)).encode()).hexdigest())
                     b.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

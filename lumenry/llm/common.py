@@ -22,9 +22,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where that is unset, a temporary one in local mode and an error else."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="lumenry-"))
         base = _own_dir[0]
@@ -51,8 +53,8 @@ def _remove_written() -> None:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:
-            return  # the session has ended
+        except Exception:  # the session has ended, or the store is gone: the other paths may still be there
+            continue
 
 
 atexit.register(_remove_written)
@@ -62,8 +64,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches, so that Python objects of few rows exist at once."""
+#: What operators keep in a worker process from task to task: how to let go of it, by owner.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, let_go: Callable[[], None]) -> None:
+    """Have ``let_go`` called when a task of another operator starts in this process."""
+    _kept[owner] = let_go
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that Python objects of few rows exist at once. Workers are used again by later stages,
+    so what other owners have kept in this process goes first."""
+    for other in [x for x in _kept if x != owner]:
+        _kept.pop(other)()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
