@@ -1,9 +1,9 @@
 """Language identification in two steps: the family, then the language within it.
 
-Texts are counted as hashed letter n-grams (2 to 4 bytes of the letters, other characters being one space). One linear
-support vector machine for each family, and one for each language within a family of several, one against the rest of its
-family, are trained by stochastic sub-gradient steps on the squared hinge loss. A bounded sample of labelled documents,
-the same number for each language at most, is all that training sees.
+Texts are counted as hashed letter n-grams (2 to 4 bytes of the letters, other characters being one space). Linear support
+vector machines are trained by stochastic sub-gradient steps on the squared hinge loss: one for each family, against the
+others, and within a family one for each two of its languages, which vote. A bounded sample of labelled documents, the same
+number of different texts for each language at most and each text whole, is all that training sees.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import pieces, raw
+from lumenry.llm.common import materialize, pieces, raw
 
 UNDETERMINED = "und"
-#: Labelled documents per language that training sees at most, and the bytes of each.
-TRAIN_ROWS, TRAIN_BYTES = 400, 4000
+#: Different labelled texts per language that training sees at most.
+TRAIN_ROWS = 400
 BUCKETS = 1 << 14
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -33,7 +34,7 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 _OTHER = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _ASCII_LETTER = re.compile(r"[^\W\d_]"), re.compile(rb"[A-Za-z]")
 _MARKS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 #: Bytes of a text that are counted at once.
 BLOCK = 1 << 20
@@ -42,14 +43,15 @@ BLOCK = 1 << 20
 def features(text: bytes) -> np.ndarray:
     """Square roots of n-gram counts at unit length; runs of non-letters count as one space."""
     counts = np.zeros(BUCKETS)
-    for at in range(0, len(text), BLOCK):
-        b = np.frombuffer(b" " + b" ".join(text[at : at + BLOCK].translate(_OTHER).split()) + b" ", np.uint8).astype(np.uint32)
+    letters = np.frombuffer(b" " + b" ".join(text.translate(_OTHER).split()) + b" ", np.uint8)
+    for at in range(0, len(letters), BLOCK):
+        b = letters[at : at + BLOCK + len(_MARKS)].astype(np.uint32)  # with the ends of the n-grams that start in the block
         key = b
         for n, mark in enumerate(_MARKS, 1):
             if len(b) <= n:
                 break
             key = key[:-1] * np.uint32(0x01000193) + b[n:] * mark
-            counts += np.bincount(((key ^ (key >> np.uint32(15))) * mark) >> np.uint32(18), minlength=BUCKETS)
+            counts += np.bincount((((key ^ (key >> np.uint32(15))) * mark) >> np.uint32(18))[:BLOCK], minlength=BUCKETS)
     counts = np.sqrt(counts)
     norm = np.sqrt(counts @ counts)
     return (counts / norm if norm else counts).astype(np.float32)
@@ -78,42 +80,81 @@ def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, penalty: float = 1
 class Model:
     families: list[str]
     members: list[list[str]]
-    weights: np.ndarray  # a row for each family, then for each language
+    weights: np.ndarray  # a row for each family, then for each two languages of each family, first against second
     bias: np.ndarray
 
-    def predict(self, text: str | None, data: bytes | None) -> tuple[str, float]:
-        if not text or not self.families or not _LETTER.search(text):
+    def predict(self, text: bytes | None) -> tuple[str, float]:
+        if not text or not self.families or not has_letter(text):
             return UNDETERMINED, 0.0
-        margins = self.weights @ features(data) + self.bias
-        f, p = _likeliest(margins[: len(self.families)])
-        at = len(self.families) + sum(len(m) for m in self.members[:f])
-        k, q = _likeliest(margins[at : at + len(self.members[f])])
-        return self.members[f][k], p * q
+        margins = self.weights @ features(text) + self.bias
+        f = int(np.argmax(margins[: len(self.families)]))
+        shares = np.exp(3 * (margins[: len(self.families)] - margins[f]))
+        at = len(self.families) + sum(len(m) * (len(m) - 1) // 2 for m in self.members[:f])
+        own = self.members[f]
+        if len(own) == 1:
+            return own[0], float(1 / shares.sum())
+        votes, chance = np.zeros(len(own)), np.zeros(len(own))
+        for k, (i, j) in enumerate(combinations(range(len(own)), 2), at):
+            p = 1 / (1 + np.exp(-3 * float(margins[k])))
+            votes[i if margins[k] > 0 else j] += 1
+            chance[i] += p
+            chance[j] += 1 - p
+        best = max(range(len(own)), key=lambda i: (votes[i], chance[i], -i))
+        return own[best], float(chance[best] / (len(own) - 1) / shares.sum())
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode()))
+
+
+def sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` different texts (lang, h, text) of each language, those of the least hashes.
+
+    Ranking takes hashes alone, and of these only those below a bound that leaves about twice ``rows`` of each language,
+    so few rows meet however large the input or a language is.
+    """
+    known = labelled.filter("text is not null and lang is not null and lang <> ''").select("lang", "text").withColumn("h", F.xxhash64("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("n"))
+    bounds = materialize(counts.select("lang", (share * float(1 << 63) * 2 - float(1 << 63)).alias("bound")), "language-bounds")  # a row for each language
+    low = known.join(bounds, "lang").filter(F.col("h").cast("double") <= F.col("bound")).drop("bound")
+    ranked = low.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = materialize(ranked.filter(F.col("r") <= rows).select("lang", "h"), "language-hashes")
+    return low.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
 
-def _likeliest(margins: np.ndarray) -> tuple[int, float]:
-    """The largest margin's place and its share of exp(3 * margin)."""
-    k = int(np.argmax(margins))
-    return k, float(1 / np.exp(3 * (margins - margins[k])).sum())
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Train on at most ``rows`` different texts of each language of ``labelled`` (text, lang), whole.
 
+    Rows without text or lang play no part; a text that occurs more than once is one. The driver gets the features of
+    the sample, at most 4 * BUCKETS bytes of a text.
+    """
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` rows (text, lang) of each language, those of the least text hashes, TRAIN_BYTES of each."""
-    known = labelled.filter("text is not null and lang is not null and lang <> ''").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_BYTES).alias("text"))
-    # least hashes per language: a windowed rank keeps only `rows` rows of each partition before the exchange
-    best = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows)
-    sample = sorted((r["lang"], r["text"]) for r in best.select("lang", "text").collect())
-    langs = sorted({lang for lang, _ in sample})
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            at, of = [], []
+            for text in raw(piece.column("text")):
+                x = features(text)
+                some = np.flatnonzero(x)
+                at.append(some.astype(np.uint16).tobytes())
+                of.append(x[some].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("h"), pa.array(at, pa.binary()), pa.array(of, pa.binary())], names=["lang", "h", "at", "of"])
+
+    got = sorted(sample(labelled, rows).select("lang", "h", "text").mapInArrow(count, "lang string, h bigint, at binary, of binary").collect(), key=lambda r: (r["lang"], r["h"]))
+    langs = sorted({r["lang"] for r in got})
     family_of = {code: name for name, codes in FAMILIES.items() for code in codes}
     families = sorted({family_of.get(x, x) for x in langs})
     members = [[x for x in langs if family_of.get(x, x) == f] for f in families]
     if not langs:
         return Model([], [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32))
-    x, y = np.stack([features(t.encode()) for _, t in sample]), np.array([lang for lang, _ in sample])
+    x, y = np.zeros((len(got), BUCKETS), np.float32), np.array([r["lang"] for r in got])
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["of"], np.float16)
     machines = [train_svm(x, np.where(np.isin(y, m), 1, -1)) if len(families) > 1 else (np.zeros(BUCKETS), 0.0) for m in members]
     for m in members:
-        own = np.isin(y, m)
-        machines += [train_svm(x[own], np.where(y[own] == lang, 1, -1)) if len(m) > 1 else (np.zeros(BUCKETS), 0.0) for lang in m]
+        for one, other in combinations(m, 2):
+            own = np.isin(y, (one, other))
+            machines.append(train_svm(x[own], np.where(y[own] == one, 1, -1)))
     return Model(families, members, np.array([w for w, _ in machines], np.float32), np.array([b for _, b in machines], np.float32))
 
 
@@ -122,14 +163,14 @@ def predict(docs: DataFrame, model: Model, *carry: str, keep_text: bool = False)
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # (families + languages) * BUCKETS * 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs of languages of a family) * BUCKETS * 4 bytes
     names = ["doc_id", *carry]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for piece in pieces(batches):
             column = piece.column("_text")
-            got = [own.predict(t, b) for t, b in zip(column.to_pylist(), raw(column), strict=True)]
+            got = [own.predict(t) for t in raw(column)]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *([column] if keep_text else []), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, *(["text"] if keep_text else []), "lang_pred", "score"])
 
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)

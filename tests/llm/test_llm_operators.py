@@ -183,6 +183,37 @@ def test_language(spark):
     assert language_id.predict(odd, none).filter("lang_pred = 'und'").count() == 4
     single = language_id.fit(docs.filter("lang = 'fr'"), 5)
     assert {r.lang_pred for r in language_id.predict(docs.limit(5), single).collect()} == {"fr"}
+    assert [(m, len(x.weights)) for x in (model, single) for m in [x.members]] == [([["de", "en"], ["es", "fr"]], 4), ([["fr"]], 1)]  # 2 families, 2 pairs
+
+
+def test_language_samples_whole_different_texts(spark):
+    long = "le " * 5000 + "fin"
+    rows = [(i % 3, long, "fr") for i in range(500)] + [(i, f"der Satz {i}", "de") for i in range(900)] + [(1, None, "fr"), (2, "x", None), (3, "y", "")]
+    frame = spark.createDataFrame([(*r, "h", 0.5) for r in rows], "doc_id bigint, text string, lang string, h string, bound double").repartition(7)
+    got = language_id.sample(frame, 40).collect()
+    assert [r.text for r in got if r.lang == "fr"] == [long] and len({r.text for r in got if r.lang == "de"}) == 40 == len(got) - 1
+    again = language_id.sample(frame.repartition(2), 40).collect()
+    assert {r.text for r in again} == {r.text for r in got}
+    model = language_id.fit(frame, 40)
+    assert len(language_id.predict(frame, model, "lang", "h").collect()) == len(rows)  # repeated rows give a row each
+
+
+def test_language_features_by_hand(monkeypatch):
+    text = "Ünder THE  4 tree\x00s, ñandú".encode() * 9
+    counts = collections.Counter()
+    letters = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.lower() + b" ")
+    for n in (2, 3, 4):
+        for i in range(len(letters) - n + 1):
+            key = letters[i]
+            for j, mark in enumerate((0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[: n - 1], 1):
+                key = (key * 0x01000193 + letters[i + j] * mark) % (1 << 32)
+            counts[((key ^ key >> 15) * mark % (1 << 32)) >> 18] += 1
+    want = np.zeros(language_id.BUCKETS)
+    for k, c in counts.items():
+        want[k] = c**0.5
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert np.allclose(language_id.features(text), want / np.sqrt(want @ want), atol=1e-6)
 
 
 def _cost(rows):
