@@ -1,7 +1,8 @@
 """From documents to tokens: language, near duplicates, repeated passages, benchmark passages, tokens.
 
 Each stage reads what its predecessor kept, as a written table. SQL can't express the stages (trained machines, MinHash,
-byte-pair merges), so tests hold them against brute force instead.
+byte-pair merges), so tests hold them against brute force instead. Empty tables stay empty; columns beside doc_id and text
+are carried and may have any name; null and empty texts have no language and go in the first stage.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from lumenry.llm.common import crc_of_id, materialize, table
 ORACLE_SQL = None
 #: Documents of which more than this share is benchmark passages go altogether.
 MOST_HIT = 0.5
+#: Documents whose language has a lower score go: two families of two languages give 0.25 where nothing can be told.
+LEAST_SCORE = 0.4
 
 
 def _others(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list[str]]:
@@ -34,21 +37,30 @@ def _back(rows: DataFrame, text: str, safe: tuple[str, ...], names: list[str], o
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. Learns from documents whose crc32 mod 4 isn't 2."""
+    """Documents whose language can be told: those without a letter go, and those whose language scores under LEAST_SCORE.
+
+    Learns from documents whose crc32 mod 4 isn't 2. Where nothing can be learned, no language can be told.
+    """
     model = language_id.fit(docs.filter(crc_of_id() % 4 != 2))
     given, safe, names = _others(docs)
-    kept = language_id.predict(given, model, *safe, keep_text=True).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    kept = language_id.predict(given, model, *safe, keep_text=True).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return _back(kept, "text", safe, names, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each component at similarity 0.8 on five-word shingles; one row of each doc_id."""
-    gone = near_dup.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """One document, that of the least doc_id, of each component at similarity 0.8 on five-word shingles.
+
+    Of rows with one doc_id that of the least text stays, any of them if texts are the same; rows without a doc_id stay.
+    """
+    verdicts = near_dup.near_duplicates(docs, size=5, percent=80).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    told = materialize(verdicts.filter("doc_id is not null and (not kept or n > 1)"), "verdicts")
     order = [F.col(f"`{c}`") for c in docs.columns]
-    named = kept.filter("doc_id is not null").withColumn("_once", once).filter("_once = 1").select(*order)
-    return named.unionByName(kept.filter("doc_id is null").select(*order))
+    rest = docs.join(told.select("doc_id"), "doc_id", "left_anti").select(*order)
+    again = told.filter("kept").select("doc_id")
+    if again.isEmpty():
+        return rest
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    return rest.unionByName(docs.join(again, "doc_id", "left_semi").withColumn("_once", once).filter("_once = 1").select(*order))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
