@@ -302,14 +302,64 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";<
 def test_html(spark):
     pages = [(i, f"https://User@Host{i % 2}.example:80/{i}?q", PAGE.replace("First", f"First{i}").replace('<div class="ad">', "<div class='intro'>") if i < 12 else PAGE) for i in range(14)]
     pages += [(90, None, None), (91, "", ""), (92, "x", "plain & <b>bold"), (93, "http://a/b", "<p>one<p>two</p></article><div>tail"), (94, "http://a/c", "<article><p>cut off <a hre"), (95, "http://alone/", PAGE)]
-    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), many=3).collect()}
-    body = "Title & more\nFirst{} bold text goes on\nSecond line\n{}Quote é©{}"
+    frame = spark.createDataFrame([(*p, "t", "b") for p in pages], "page_id bigint, url string, html string, template string, blob string")
+    got = {r.page_id: r for r in html_text.extract(frame, many=3).collect()}
+    body = "Title & more\nFirst{} bold text goes on\nSecond line\none\ntwo\nQuote é©\na b"
     for i in range(12):
-        assert got[i].text == body.format(i, "", ""), got[i].text  # "Buy", the list and the table recur, so they're template
-    assert got[12].text == body.format("", "", "") and got[95].text == body.format("", "one\ntwo\n", "\na b") and got[90].text == "" == got[91].text and got[92].text == "plain & bold" and got[93].text == "one\ntwo\ntail" and got[94].text == "cut off"
+        assert got[i].text == body.format(i), got[i].text  # "Buy" recurs and so is template
+    assert got[12].text == body.format("") == got[95].text and got[90].text == "" == got[91].text and got[92].text == "plain & bold" and got[93].text == "one\ntwo\ntail" and got[94].text == "cut off"
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def _site_texts(pages, many, share, few, recurring):
+    """Counts in plain Python, page by page."""
+    roots = {p: html_text.parse(h or "") for p, _, h in pages}
+    nodes = {p: [n for n in html_text.walk(root) if n.can] for p, root in roots.items()}
+    body = {p: html_text.text_of(root, set()) for p, root in roots.items()}
+    sites = {p: [("host", html_text.host_of(u)), ("domain", html_text.domain_of(html_text.host_of(u)))] for p, u, _ in pages}
+    bodies, on, slots = (collections.defaultdict(set) for _ in range(3))
+    for p in roots:
+        for site in sites[p]:
+            bodies[site].add(body[p])
+            for n in nodes[p]:
+                on[site, n.key].add(body[p])
+                if n.slot is not None:
+                    slots[site, n.slot].add((n.key, body[p]))
+    out = {}
+    for p, root in roots.items():
+        gone = set()
+        for site in sites[p]:
+            for n in nodes[p]:
+                at = slots.get((site, n.slot), ())
+                again = sum(len(on[site, k]) > 1 for k, _ in at)
+                if len(on[site, n.key]) > 1 and len(on[site, n.key]) >= max(many, share * len(bodies[site])) or len(at) >= few and again >= recurring * len(at):
+                    gone.add(n.key)
+        out[p] = html_text.text_of(root, gone, any(len(bodies[site]) >= few for site in sites[p]))
+    return out
+
+
+def test_html_counts_by_hand(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for choice in ((10, 0.02, 50, 0.4), (2, 0.0, 5, 0.2), (3, 0.3, 1000, 0.4)):
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), *choice).collect()}
+        assert got == _site_texts(pages, *choice), choice
+    whole = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    inner = {p: html_text.text_of(root, set()) for p, _, h in pages for root in [html_text.parse(h)]}
+    assert whole == inner  # the articles, found by what recurs around them
+    off = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), many=1 << 30, recurring=2.0).collect()}
+    assert all(off[p] != t for p, t in whole.items())  # without the counts, adverts stay
+
+
+def test_html_odd_tables(spark):
+    kind = "page_id bigint, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+    long = "<article>" + "".join(f"<p>part {i} of it" for i in range(40_000)) + "</article>"
+    deep = "<div>" * 20_000 + "<p>deep"
+    rows = [(1, "http://a/1", long), (2, "http://a/2", deep), (3, "http://a/3", "<p>x"), (3, "http://a/3", "<p>x"), (None, "http://a/4", "<p>y"), (None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 1), (1, len("\n".join(f"part {i} of it" for i in range(40_000)))), (2, 4), (3, 1), (3, 1)]
+
+
 def test_html_keeps_articles_that_repeat(spark):
     chrome, body = "<div class=intro>Buy</div>", "<div><p>The same words.</p><figure><figcaption>A view</figcaption></figure></div>"
     pages = [(i, f"http://a/{i}", f"<article><h1>Part {i}</h1>{chrome}<section>{body}</section></article>") for i in range(5)]
