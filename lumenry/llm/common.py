@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 256
@@ -126,3 +126,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
+
+
+def least_hashes(rows: DataFrame, by: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` with a hash ``h``, those with low hashes, and (``by``, h) of the ``n`` least different hashes of each ``by``.
+
+    Ranking takes hashes alone, and of these only those below a bound that leaves about twice ``n`` of each ``by``, so
+    few rows meet however large the input or a group is. The second is a written table of at most ``n`` rows a group.
+    """
+    counts = rows.groupBy(by).agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * n + 50) / F.col("n"))
+    bounds = materialize(counts.select(by, (share * float(1 << 63) * 2 - float(1 << 63)).alias("bound")), "bounds")  # a row for each group
+    low = rows.join(bounds, by).filter(F.col("h").cast("double") <= F.col("bound")).drop("bound")
+    ranked = low.select(by, "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("h")))
+    return low, materialize(ranked.filter(F.col("r") <= n).select(by, "h", "r"), "least-hashes")

@@ -1,9 +1,9 @@
 """A quality score from compression: which of two dictionaries, of good or of bad text, shortens a document more.
 
-zstandard dictionaries are trained on the whole texts of a bounded sample of labelled documents. A text is compressed with each; the
-difference of the sizes, divided by their sum, is its feature, beside the size without dictionary divided by the length,
-since text that repeats itself shrinks under both. A logistic curve, fitted on labelled documents that the dictionaries
-weren't built from, makes the feature a probability.
+zstandard dictionaries are trained on the whole texts of a bounded sample of labelled documents. A text is compressed with
+each, in blocks so short that the dictionary rather than the text before decides how small they get. The difference of the
+sizes divided by the text's length is the only feature, the same for training and scoring and at any length. A logistic
+curve, fitted on labelled documents that the dictionaries weren't built from, makes it a probability.
 """
 
 from __future__ import annotations
@@ -14,18 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import materialize, pieces, raw
+from lumenry.llm.common import least_hashes, materialize, pieces, raw
 
 #: Labelled documents per class that training sees at most, and the size of a dictionary.
 TRAIN_ROWS, DICTIONARY_BYTES = 1500, 96 << 10
 #: Bytes of the segments that a dictionary is made of, and of the strings whose frequency chooses them.
 SEGMENT_BYTES, STRING_BYTES = 200, 8
 LEVEL = 3
-#: Bytes of a text that are compressed at once; a longer text's sizes are summed over its blocks.
-BLOCK = 1 << 17
+#: Bytes of a text that are compressed at once; sizes are summed over its blocks. And the bytes of a training sample.
+BLOCK, TRAIN_BLOCK = 1 << 10, 1 << 17
 
 
 @dataclass
@@ -45,14 +45,13 @@ class Scorer:
             own.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
 
-        self.tools = [with_dictionary(model.good), with_dictionary(model.bad), zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)]
+        self.good, self.bad = with_dictionary(model.good), with_dictionary(model.bad)
         self.weights = model.weights
 
     def features(self, text: bytes) -> np.ndarray:
-        good, bad, plain = (sum(len(t.compress(text[at : at + BLOCK])) for at in range(0, max(1, len(text)), BLOCK)) for t in self.tools)
-        n = max(1, len(text))
-        difference = (bad - good) / (bad + good)
-        return np.array([1.0, 10 * difference, 4 * min(1.0, plain / n), np.log1p(n) / 4, 10 * difference * min(2.0, np.log1p(n) / 4)])
+        blocks = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+        difference = sum(len(self.bad.compress(b)) - len(self.good.compress(b)) for b in blocks)
+        return np.array([1.0, 10 * difference / max(1, len(text))])
 
     def score(self, text: bytes | None) -> float:
         if len(self.weights) == 0:
@@ -78,7 +77,7 @@ def dictionary(texts: list[bytes]) -> bytes:
     whose strings are the most frequent."""
     if sum(map(len, texts)) + len(texts) <= DICTIONARY_BYTES:
         return b"\n".join(texts).rjust(8, b"\n")
-    samples = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]  # the trainer's own bound is on a sample
+    samples = [t[at : at + TRAIN_BLOCK] for t in texts for at in range(0, len(t), TRAIN_BLOCK)]  # the trainer's own bound is on a sample
     samples = [s for s in samples if len(s) >= STRING_BYTES]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT_BYTES, d=STRING_BYTES).as_bytes()
@@ -110,21 +109,21 @@ def _train(table: pa.Table) -> pa.Table:
 def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` of the labels (doc_id, label) 0 and 1 each, those of the least id hashes: so few that their join
     with the documents moves no text."""
-    ranked = _known(labels).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    return ranked.filter(F.col("r") <= rows).select("doc_id", "label")
+    low, chosen = least_hashes(_known(labels).withColumn("h", F.xxhash64("doc_id")), "label", rows)
+    return low.join(chosen, ["label", "h"], "left_semi").select("doc_id", "label")
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, totals: dict[int, int] | None = None) -> Model:
-    """Train on at most ``rows`` rows (text, label) of each label 0 and 1, those of the least text hashes.
+    """Train on at most ``rows`` different texts of the rows (text, label) of each label 0 and 1, those of the least hashes.
 
     Of each class, half of the sample makes the dictionary and the other half the curve, in which each class counts as
     much as its rows in ``totals`` (those of ``labelled`` if not given, which may be a sample): the score's prior is that
-    of all labelled rows at any size. Rows with another label or null text play no part. Without both labels the score is
-    0.5 for every text.
+    of all labelled rows at any size. Rows with another label or null text play no part; a text with both labels is
+    learned as both. Without two texts of each label the score is 0.5 for every text.
     """
     known = labelled.filter("text is not null and label in (0, 1)").select(F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"), "text")
-    best = known.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("r") <= rows)
-    best = materialize(best.select("label", "r", "text"), "quality-sample")
+    low, chosen = least_hashes(known, "label", rows)
+    best = materialize(low.join(chosen, ["label", "h"]).dropDuplicates(["label", "h"]).select("label", "r", "text"), "quality-sample")
     taken = _counts(best)
     if min(taken.get(0, 0), taken.get(1, 0)) < 2:
         return Model(b"\n" * 8, b"\n" * 8, np.zeros(0))

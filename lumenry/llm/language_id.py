@@ -15,10 +15,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import materialize, pieces, raw
+from lumenry.llm.common import least_hashes, pieces, raw
 
 UNDETERMINED = "und"
 #: Different labelled texts per language that training sees at most.
@@ -108,18 +108,9 @@ def has_letter(text: bytes) -> bool:
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` different texts (lang, h, text) of each language, those of the least hashes.
-
-    Ranking takes hashes alone, and of these only those below a bound that leaves about twice ``rows`` of each language,
-    so few rows meet however large the input or a language is.
-    """
+    """At most ``rows`` different texts (lang, h, text) of each language, those of the least hashes."""
     known = labelled.filter("text is not null and lang is not null and lang <> ''").select("lang", "text").withColumn("h", F.xxhash64("text"))
-    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("n"))
-    bounds = materialize(counts.select("lang", (share * float(1 << 63) * 2 - float(1 << 63)).alias("bound")), "language-bounds")  # a row for each language
-    low = known.join(bounds, "lang").filter(F.col("h").cast("double") <= F.col("bound")).drop("bound")
-    ranked = low.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = materialize(ranked.filter(F.col("r") <= rows).select("lang", "h"), "language-hashes")
+    low, chosen = least_hashes(known, "lang", rows)
     return low.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import bpe_verify, chat_repair, compress_quality, decontaminate, html_text, language_id, line_rules, near_dup, substring_dedup, token_codes
-from lumenry.llm.common import crc_of_id, table
+from lumenry.llm.common import crc_of_id, materialize, table
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ def op9_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id() % 5 == 0
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
     sample = compress_quality.sample_labels(labels)  # at most TRAIN_ROWS rows of each label
-    model = compress_quality.fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), totals=compress_quality.count_labels(docs, labels))
+    learned = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled-sample")
+    model = compress_quality.fit(learned, totals=compress_quality.count_labels(docs, labels))
     return compress_quality.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -380,6 +380,22 @@ def test_quality(spark):
     odd = compress_quality.score(spark.createDataFrame([(1, None), (2, ""), (None, "x" * 300_000)], "doc_id bigint, text string"), model).collect()
     assert len(odd) == 3 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
     assert compress_quality.fit(learned.filter("label = 1")).start().score(b"x") == 0.5
+    blind = compress_quality.Model(model.good, model.good, model.weights)  # the dictionaries are the only signal
+    assert len({r.score for r in compress_quality.score(docs, blind).collect()}) == 1
+
+
+def test_quality_odd_tables(spark, table):
+    kind = "doc_id bigint, text string, label int"
+    empty = spark.createDataFrame([], kind)
+    none = compress_quality.fit(empty)
+    assert {r.score for r in compress_quality.score(table, none).collect()} == {0.5} and compress_quality.score(empty, none).count() == 0
+    rows = [(i % 7, f"text {'good' if i % 2 else 'bad'} {i % 9} " * 9, i % 2) for i in range(200)] * 3 + [(1, "both", 0), (1, "both", 1), (2, None, 1), (3, "x", None), (4, "y", 5)]
+    frame = spark.createDataFrame([(*r, "s", 0.1) for r in rows], kind + ", score string, weight double")
+    assert sum(compress_quality.count_labels(frame, frame).values()) >= 600  # labels of a doc_id count for each of its rows
+    model = compress_quality.fit(frame)
+    got = compress_quality.score(frame, model, 0.3, "label").collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) <= 20
+    assert {r.doc_id for r in compress_quality.sample_labels(frame, 3).collect()} <= set(range(7))
 
 
 def test_quality_prior_is_that_of_all_labels(spark):
