@@ -82,7 +82,9 @@ twice AS (SELECT doc_id, s FROM win GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN twice USING (doc_id, s), unnest(range(0, 3)) AS t(j) GROUP BY 1),
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
 ln AS (SELECT doc_id, coalesce(source, '') AS source, line, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-freq AS (SELECT source, k FROM ln GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {line_rules.MOST_DOCS}),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n_docs FROM (SELECT coalesce(source, '') AS source, doc_id FROM documents) GROUP BY 1),
+often AS (SELECT source, k, count(DISTINCT doc_id) AS c FROM ln GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {line_rules.MOST_DOCS}),
+freq AS (SELECT source, k FROM often JOIN hosts USING (source) WHERE 100 * c > {line_rules.MOST_SHARE} * n_docs),
 lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS u, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER ((source, k) IN (SELECT (source, k) FROM freq)), 0) AS removed FROM ln GROUP BY 1),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n - lines.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_chars_removed, coalesce(total, 0) AS total FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * n_chars_removed > {line_rules.MOST_REMOVED} * total AS kept, n_chars_removed FROM base

@@ -87,17 +87,20 @@ def _line_base(text):
 
 def test_line_rules(spark, table, docs):
     rows = table.withColumn("source", F.when(F.col("doc_id") % 5 != 0, "s"))
-    got = {r.doc_id: r for r in line_rules.rules(rows, most_docs=3, most_removed=20).collect()}
+    got = {r.doc_id: r for r in line_rules.rules(rows, most_docs=3, most_share=3, most_removed=20).collect()}
     lines = collections.defaultdict(set)
     norm = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ").lower()
     own = {d: [x for x in (t or "").split("\n") if WORDS.search(x)] for d, t in docs}
     for d, ls in own.items():
         for x in ls:
             lines[d % 5 != 0, norm(x)].add(d)
+    most = {h: max(3, 3 * sum((d % 5 != 0) == h for d in own) / 100) for h in (True, False)}
+    assert most[True] > 3 == most[False] and any(3 < len(x) <= most[True] for (h, _), x in lines.items() if h)
     for d, t in docs:
         base = _line_base(t)
         assert tuple(got[d][1:7]) == base, d
-        lost, total = sum(len(x) for x in own[d] if len(lines[d % 5 != 0, norm(x)]) > 3), sum(map(len, own[d]))
+        lost, total = sum(len(x) for x in own[d] if len(lines[d % 5 != 0, norm(x)]) > most[d % 5 != 0]), sum(map(len, own[d]))
+        assert got[d].n_chars_removed == lost, d
         assert got[d].kept == (not base[5] and not 100 * lost > 20 * total), d
     assert line_rules.rules(_empty(spark)).count() == 0
     assert line_rules.clean(rows, most_docs=3).count() == len(docs)
@@ -110,6 +113,9 @@ def test_line_rules_count_documents_not_rows(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = line_rules.rules(frame, most_docs=3).collect()
     assert all(r.n_chars_removed == (0 if r.doc_id is None or r.doc_id < 10 else 11) for r in got) and len(got) == len(rows)
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fired = line_rules.rules(whole).filter("n_chars_removed > 0")
+    assert 50 < fired.count() < 500 and fired.filter("not kept and not base_failed").count() < 20  # the limits act on real hosts
     assert {(r.doc_id, r.text) for r in line_rules.clean(frame, most_docs=3).collect()} == {(1, text), (None, text), *((i, "") for i in range(10, 14))}
 
 
