@@ -1,9 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-Items are taken in blocks of a bounded number of words, one automaton each, so what is broadcast has a proven size; each
-block is one more pass over the documents, without a shuffle. Within a pass, a document's words become numbers (words of
-no item become -1), vectorised look-ups of item word pairs leave the runs that could hold a window, and those runs are
-streamed through the automaton, which tracks the longest match that ends at each word.
+Items are taken in blocks of a bounded number of words, one automaton each, so what is broadcast has a proven size. A
+benchmark of one block is one pass over the documents, without a shuffle. With more blocks, each is a pass of its own that
+writes what it found and drops its automaton before the next; a last pass joins the findings. Within a pass, a document's
+words become numbers (words of no item become -1), vectorised look-ups of item word pairs leave the runs that could hold a
+window, and those runs are streamed through the automaton, which tracks the longest match that ends at each word.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import pieces, raw
+from lumenry.llm.common import materialize, pieces, raw
 
 #: Words of items in one automaton: at most twice as many states, a few hundred bytes each.
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 50_000
 #: Bytes that end words: all ASCII but digits and lower-case letters.
 _SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -189,37 +190,76 @@ def _kind(docs: DataFrame, names: list[str]) -> str:
     return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
 
 
-def _scan(rows: DataFrame, automaton: SuffixAutomaton | None, names: list[str], keep_text: bool) -> DataFrame:
-    """One pass: spans and items of one automaton beside those found before, and the number of words."""
-    shared = rows.sparkSession.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words and one item
-    kept = [*names, *(["text"] if keep_text else [])]
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of 128 bits of doc_id and text: repeated ids with other texts are other documents."""
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", "doc_id", F.lit(7)))
+
+
+def _found(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    """(k1, k2, spans, items) of the documents (doc_id, text) with hits of one automaton, as a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most BLOCK_WORDS words and one item
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for piece in pieces(batches):
-            spans, items, n = piece.column("spans").to_pylist(), piece.column("items").to_pylist(), []
+            rows, spans, items = [], [], []
             for k, text in enumerate(raw(piece.column("text"))):
-                words = words_of(text)
-                n.append(len(words))
-                got, found = own.scan(words) if own else ([], set())
+                got, found = own.scan(words_of(text))
                 if found:
-                    spans[k] = [{"a": a, "b": b} for a, b in _merged([*((s["a"], s["b"]) for s in spans[k]), *got])]
-                    items[k] = sorted({*items[k], *(own.names[i] for i in found)})
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*kept, "spans", "items", "n_words"])
-
-    return rows.select(*names, "text", "spans", "items").mapInArrow(run, f"{_kind(rows, kept)}spans {_SPANS}, items array<string>, n_words bigint")
+                    rows.append(k)
+                    spans.append([{"a": a, "b": b} for a, b in _merged(got)])
+                    items.append(sorted(own.names[i] for i in found))
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([piece.column("k1").take(at), piece.column("k2").take(at), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))], names=["k1", "k2", "spans", "items"])
+
+    out = materialize(_keyed(docs.select("doc_id", "text")).select("k1", "k2", "text").mapInArrow(run, f"k1 bigint, k2 bigint, spans {_SPANS}, items array<string>"), "hits")
+    shared.destroy()
+    return out
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """``docs`` (doc_id, the columns ``carry``, and text if kept) with ``spans`` (word spans of occurring windows), ``items``
-    (sorted item_ids found) and ``n_words``."""
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_hit: float = 1.0, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """``docs`` as doc_id, the columns ``carry``, ``spans`` (word spans of occurring windows), ``items`` (sorted item_ids
+    found), ``n_words`` and, with ``keep_text``, kept_text."""
     names = ["doc_id", *carry]
-    rows = docs.select(*names, "text", F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     automata = item_blocks(benchmark, window)
-    now = next(automata, None)
-    while (following := next(automata, None)) is not None:
-        rows, now = _scan(rows, now, names, True), following
-    return _scan(rows, now, names, keep_text)
+    now, following = next(automata, None), next(automata, None)
+    rows, shared = docs.select(*names, "text"), None
+    if following is None:
+        shared = docs.sparkSession.sparkContext.broadcast(now)
+    else:
+        hits = _found(docs, now)
+        while following is not None:
+            now, following = following, next(automata, None)
+            hits = hits.union(_found(docs, now))
+        # the sets of equal rows are equal, and what is gathered is a document's own findings
+        hits = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+        rows = _keyed(rows).join(materialize(hits, "hits"), ["k1", "k2"], "left").select(*names, "text", "spans", "items")
+    kind = f"{_kind(docs, names)}spans {_SPANS}, items array<string>, n_words bigint{', kept_text string' if keep_text else ''}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value if shared else None
+        for piece in pieces(batches):
+            n, spans, items, texts = [], [], [], []
+            given = zip(piece.column("spans").to_pylist(), piece.column("items").to_pylist(), strict=True) if "spans" in piece.schema.names else None
+            for text in raw(piece.column("text")):
+                words = words_of(text)
+                if given:
+                    had, ids = next(given)
+                    got, found = ((s["a"], s["b"]) for s in had or ()), set(ids or ())
+                else:
+                    got, at = own.scan(words) if own else ((), ())
+                    found = {own.names[i] for i in at}
+                got = _merged(got)
+                n.append(len(words))
+                spans.append([{"a": a, "b": b} for a, b in got])
+                items.append(sorted(found))
+                if keep_text:
+                    over = sum(b - a for a, b in got) > most_hit * len(words)
+                    texts.append(None if text is None or over else cut(text, text.lower().translate(_SEPARATORS), got))
+            columns = [*(piece.column(c) for c in names), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64()), *([pa.array(texts, pa.string())] if keep_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spans", "items", "n_words", *(["kept_text"] if keep_text else [])])
+
+    return rows.mapInArrow(run, kind)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_hit: float = 1.0, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -227,28 +267,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
 
     A word is hit inside any occurrence of a window: ``window`` consecutive words of an item, or a shorter item whole.
     ``kept_text`` is the text without its hit spans, each from its first word to its last, or null if over ``most_hit``
-    of the words are hit. Null text has no words and stays null; an empty benchmark hits nothing; repeated rows give a
-    row each.
+    of the words are hit. Null text has no words and stays null; an empty benchmark hits nothing; items without an
+    item_id or text play no part; repeated rows give a row each.
     """
-    found = find_spans(docs, benchmark, window, carry, keep_text)
+    found = find_spans(docs, benchmark, window, most_hit, carry, keep_text)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
-    texts: list = []
-    if keep_text:
-        names = [c for c in found.columns if c != "text"]
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece in pieces(batches):
-                kept = []
-                for text, spans, n in zip(raw(piece.column("text")), piece.column("spans").to_pylist(), piece.column("n_words").to_pylist(), strict=True):
-                    over = sum(s["b"] - s["a"] for s in spans) > most_hit * n
-                    kept.append(None if text is None or over else cut(text, text.lower().translate(_SEPARATORS), spans))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(kept, pa.string())], names=[*names, "kept_text"])
-
-        found, texts = found.mapInArrow(run, f"{_kind(found, names)}kept_text string"), ["kept_text"]
+    texts = ["kept_text"] if keep_text else []
     return found.select("doc_id", *carry, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), *texts)
 
 
-def cut(text: bytes, low: bytes, spans: list[dict]) -> str:
+def cut(text: bytes, low: bytes, spans: list[tuple[int, int]]) -> str:
     """``text`` without the stretches of its word spans; ``low`` has a space for each byte that is in no word."""
     if not spans:
         return text.decode()
@@ -256,8 +284,8 @@ def cut(text: bytes, low: bytes, spans: list[dict]) -> str:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], bytes_of.view(np.int8), [0]))))
     firsts, lasts = edges[::2], edges[1::2]
     out, at = [], 0
-    for s in spans:
-        out.append(text[at : firsts[s["a"]]])
-        at = lasts[s["b"] - 1]
+    for a, b in spans:
+        out.append(text[at : firsts[a]])
+        at = lasts[b - 1]
     out.append(text[at:])
     return b"".join(out).decode()
