@@ -226,9 +226,6 @@ class SpeculativeBPE:
                 out += self._chunks.findall(s)
         return out
 
-    def forget(self) -> None:
-        self.known, self.older, self.parts = {}, {}, {}
-
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         split = [self.chunks(t) for t in texts]
@@ -276,7 +273,7 @@ def encode_column(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(tokenizer_path)
-        keep("bpe", own.forget)
+        keep("bpe", bpe.cache_clear)
         for piece in pieces(batches, owner="bpe"):
             texts = [t or "" for t in piece.column("text").to_pylist()]
             ids = [x for block in _batches(texts) for x in own.encode_batch(block)]
@@ -294,7 +291,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(tokenizer_path)
-        keep("bpe", own.forget)
+        keep("bpe", bpe.cache_clear)
         for piece in pieces(batches, owner="bpe"):
             n, a, b = [], [], []
             for block in _batches([t or "" for t in piece.column("text").to_pylist()]):

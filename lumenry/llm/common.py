@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,10 @@ SLICE_ROWS = 256
 #: Distinct keys a worker's lookup table holds before it starts over; bounds its memory.
 CACHE_KEYS = 150_000
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+    _malloc_trim = None
 _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -78,9 +83,20 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, owner: str
     so what other owners have kept in this process goes first."""
     for other in [x for x in _kept if x != owner]:
         _kept.pop(other)()
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    give_back()
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, which otherwise counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

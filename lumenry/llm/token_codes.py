@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.common import Lookup, new_path, pieces
+from lumenry.llm.common import Lookup, keep, new_path, pieces
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
@@ -187,12 +187,11 @@ class LibraryEncoder:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-
 SEGMENT_SCHEMA = "part int, segment int, part_start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, codes binary"
 
 
@@ -220,7 +219,8 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, segme
             held.clear(), ids.clear(), sizes.clear()
             return row
 
-        for piece in pieces(batches):
+        keep("codes", encoder.cache_clear)
+        for piece in pieces(batches, owner="codes"):
             for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 held.append(own.encode(text or "") + end)
                 ids.append(doc_id)
