@@ -131,12 +131,15 @@ def repair(conversations: DataFrame) -> DataFrame:
 
     A conversation's pieces in the order of ``position`` are its rendered text; it stays in rows as a conversation may
     be larger than a task's memory. Turns are ordered by turn (null first), role and text; null roles are unknown; null
-    texts are empty; rows without a conv_id are one conversation.
+    texts are empty; rows without a conv_id are one conversation. A conv_id may be of any type. Ranges are cut between
+    conversations and turns, so no text is sampled for their bounds; equal turns lie in one range and are sorted there.
     """
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00"))
-    given = conversations.select(key.alias("k"), F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    order = ["k", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    kind = "k string, conv_id bigint, turn bigint, role string, text string, part int, block int, at int, matrix array<bigint>"
+    id_kind = conversations.schema["conv_id"].dataType.simpleString()
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    given = conversations.select(key.alias("k"), "conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    by = ["k", F.col("turn").asc_nulls_first()]
+    order = [*by, F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    kind = f"k string, conv_id {id_kind}, turn bigint, role string, text string, part int, block int, at int, matrix array<bigint>"
     names = ["k", "conv_id", "turn", "role", "text"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +195,7 @@ def repair(conversations: DataFrame) -> DataFrame:
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        id_type = pa.null()
 
         def settle() -> pa.RecordBatch:
             h = held[0]
@@ -202,10 +206,11 @@ def repair(conversations: DataFrame) -> DataFrame:
                 values = (r["conv_id"], r["turn"], (r["part"] << 40) + (r["block"] << 13) + r["at"], r["role"], ROLES[role], action, [ROLES[x] for x in inserted], render(r["text"] or "", role, action, inserted, first, last))
                 for column, v in zip(out.values(), values, strict=True):
                     column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+            kinds = (id_type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
         for piece in pieces(batches, 1024):
+            id_type = piece.schema.field("conv_id").type
             for row in piece.to_pylist():
                 if held and (held[0]["k"], held[0]["part"], held[0]["block"]) != (row["k"], row["part"], row["block"]):
                     yield settle()
@@ -214,8 +219,8 @@ def repair(conversations: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    turns = materialize(given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, kind), "turns")
+    turns = materialize(given.repartitionByRange(*by).sortWithinPartitions(*order).mapInArrow(cut, kind), "turns")
     blocks = turns.filter("matrix is not null").select("k", "part", "block", "matrix").repartition("k").sortWithinPartitions("k", "part", "block")
     states = blocks.mapInArrow(plan, "k string, part int, block int, entry int, leave int, final boolean")
     rows = turns.drop("matrix").join(states, ["k", "part", "block"]).repartition("k", "part", "block").sortWithinPartitions("k", "part", "block", "at")
-    return rows.mapInArrow(finish, "conv_id bigint, turn bigint, position bigint, role string, role_out string, action string, inserted array<string>, piece string")
+    return rows.mapInArrow(finish, f"conv_id {id_kind}, turn bigint, position bigint, role string, role_out string, action string, inserted array<string>, piece string")

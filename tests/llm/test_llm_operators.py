@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import heapq
 import itertools
 import random
 import re
@@ -233,15 +234,24 @@ def _cost(rows):
 
 
 def _cheapest(roles):
-    """Over every choice of role and of merge, by enumeration."""
-    best = {chat_repair.START: 0}
-    for role in roles:
-        new: dict[int, int] = {}
-        for state, c in best.items():
-            for cost, to, _, _ in chat_repair.choices(role, state):
-                new[to] = min(new.get(to, 1 << 30), c + cost)
-        best = new
-    return min(c + int(chat_repair.END_COST[s]) for s, c in best.items())
+    """A shortest path over single steps, each a turn taken, merged or inserted; knows only what may follow what."""
+    follows, todo, done = {"": "su", "s": "u", "u": "a", "a": "u"}, [(0, 0, "")], set()
+    while todo:
+        cost, i, last = heapq.heappop(todo)
+        if (i, last) in done:
+            continue
+        done.add((i, last))
+        if i == len(roles) and last in "a":
+            return cost
+        for new in follows[last]:
+            heapq.heappush(todo, (cost + 4, i, new))
+        if i < len(roles):
+            for new in {*follows[last], last} - {""}:
+                change = 0 if roles[i] == new else 1 if roles[i] == "" else 3
+                if new == last:
+                    heapq.heappush(todo, (cost + change + 2, i + 1, new))
+                if new in follows[last]:
+                    heapq.heappush(todo, (cost + change, i + 1, new))
 
 
 @pytest.mark.parametrize("block", [4096, 5])
@@ -254,10 +264,12 @@ def test_chat_repair(spark, monkeypatch, block):
     for c in (1, 2, 3, None, 5):
         own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
         assert [r.turn for r in own] == [r[1] for r in rows if r[0] == c]
-        assert _cost(own) == _cheapest([chat_repair.role_number(r.role) for r in own])
+        assert _cost(own) == _cheapest([{"user": "u", "assistant": "a", "system": "s", "Human": "u"}.get(r.role, "") for r in own])
         text = "".join(r.piece for r in own)
         turns = re.findall(r"<\|(system|user|assistant)\|>\n", text)
         assert re.fullmatch("s?(ua)*", "".join(t[0] for t in turns)) and text.count("<|end|>") == len(turns)
+    named = chat_repair.repair(spark.createDataFrame([("x", 1, "user", "a"), ("x", 1, "user", "a"), ("=", 0, "assistant", "b"), (None, None, None, None)], "conv_id string, turn int, role string, text string")).collect()
+    assert sorted((r.conv_id or "", r.role_out, r.action) for r in named) == [("", "user", "relabel"), ("=", "assistant", "keep"), ("x", "assistant", "relabel"), ("x", "user", "keep")]
     assert chat_repair.repair(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
