@@ -137,16 +137,19 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Per document with repeated windows: doc_id and the list of its segments' verdicts."""
     segs = materialize(segment_rows(docs, length), "segments")
     # minimizers of two documents or more; the others settle nothing
-    shared = segs.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m")
+    # each aggregate is written before it is joined: both sides of a join then come from an exchange of their own, of which
+    # Spark splits a hot minimizer's partition
+    shared = materialize(segs.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m"), "shared")
     segs = materialize(segs.join(shared, "m", "left_semi"), "shared-segments")
-    distinct = segs.groupBy("m", "s").agg(F.min("doc_id").alias("first_doc"))
-    readings = distinct.groupBy("m").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("m")
+    distinct = materialize(segs.groupBy("m", "s").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), "distinct-segments")
+    readings = materialize(distinct.groupBy("m").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a < b").select("m"), "differing")
     # where readings differ, the first document of each sends its single windows
     wanted = materialize(distinct.join(readings, "m", "left_semi").groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("s").alias("segments")), "readings")
     windows = materialize(window_rows(packed_texts(docs).join(wanted, "doc_id"), length), "windows")
-    earliest = windows.groupBy("m", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m", "w", "lo")
+    earliest = materialize(windows.groupBy("m", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m", "w", "lo"), "earliest")
     extras = windows.join(earliest, ["m", "w"]).filter("lo < doc_id").groupBy("m", "s").agg(F.collect_list(F.struct("j", "lo")).alias("x"))  # a segment has at most length - 7 windows
     verdicts = distinct.join(extras.select("m", "s", F.col("x.j").alias("offsets"), F.col("x.lo").alias("docs")), ["m", "s"], "left")
+    verdicts = materialize(verdicts.filter("first_doc < last_doc or offsets is not null").drop("last_doc"), "segment-verdicts")
     return (
         segs.join(verdicts, ["m", "s"])
         .filter("first_doc < doc_id or offsets is not null")
