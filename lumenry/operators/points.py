@@ -31,11 +31,16 @@ def time_series(points: DataFrame) -> DataFrame:
     return points.withColumn("field", F.explode(F.map_keys("fields"))).withColumn("series", F.md5(F.concat(own, "field")))
 
 
-def merge_by_identity(points: DataFrame) -> DataFrame:
-    """Points of equal name, tags and time as one, the first value of a field winning; points that stand alone stay."""
-    entries = points.select("name", "time_ns", "tags", identity(F.col("name"), F.col("tags")).alias("id"), F.explode("fields").alias("key", "value"))
-    first = entries.groupBy("id", "time_ns", "key").agg(F.first("value").alias("value"), F.first("name").alias("name"), F.first("tags").alias("tags"))
-    return first.groupBy("id", "time_ns").agg(F.first("name").alias("name"), F.first("tags").alias("tags"), F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
+def merge_by_identity(points: DataFrame, seq: str | None = None) -> DataFrame:
+    """Points of equal name, tags and time as one; points that stand alone stay.
+
+    Of a field's values that of the least ``seq`` wins, a column that says in which order the points came; without one the
+    least value wins, so that the result doesn't depend on how rows are partitioned.
+    """
+    order = F.struct(F.col(seq), F.col("value")) if seq else F.col("value")
+    entries = points.select("name", "time_ns", "tags", *([seq] if seq else []), identity(F.col("name"), F.col("tags")).alias("id"), F.explode("fields").alias("key", "value"))
+    first = entries.groupBy("id", "time_ns", "key").agg(F.min_by("value", order).alias("value"), F.min("name").alias("name"), F.any_value("tags").alias("tags"))
+    return first.groupBy("id", "time_ns").agg(F.min("name").alias("name"), F.any_value("tags").alias("tags"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
 
 
 def add_tags(tags: Column, extra: dict[str, str]) -> Column:

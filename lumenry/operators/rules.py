@@ -131,6 +131,11 @@ def percentile_name(key: str, p: float) -> str:
     return f"{key}_P{text.replace('.', '_')}"
 
 
+def aggregate_names(key: str, a: Algorithm) -> list[str]:
+    """The names of ``aggregate_columns``."""
+    return [*([percentile_name(key, p) for p in a.percentiles] if a.method == "quantiles" else [key]), f"{key}_count", "time_us"]
+
+
 def aggregate_columns(key: str, a: Algorithm, value: Column, micros: Column, seq: Column | None, counted: Column | None = None) -> list[Column]:
     """``<key>``, ``<key>_count`` and the row time of one algorithm over a group."""
     numeric = value
@@ -152,8 +157,9 @@ def aggregate_columns(key: str, a: Algorithm, value: Column, micros: Column, seq
     elif a.method == "stdev":
         own = [F.stddev_samp(numeric).alias(key)]
     elif a.method == "quantiles":
-        fn = (lambda p: F.percentile_approx(numeric, p)) if a.approximate else (lambda p: F.percentile(numeric, F.lit(p)))
-        own = [fn(p).alias(percentile_name(key, p)) for p in a.percentiles]
+        # one buffer for all percentiles: equal aggregates are computed once. The approximate form bounds it by a sketch
+        every = F.percentile_approx(numeric, a.percentiles) if a.approximate else F.percentile(numeric, F.array(*map(F.lit, a.percentiles)))
+        own = [every[i].alias(percentile_name(key, p)) for i, p in enumerate(a.percentiles)]
     elif a.method == "count_distinct":
         v = counted if counted is not None else value
         own = [(F.approx_count_distinct(v) if a.approximate else F.count_distinct(v)).alias(key)]

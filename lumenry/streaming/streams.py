@@ -4,32 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lumenry.operators.rules import Algorithm, aggregate_columns
+from lumenry.operators.rules import Algorithm, aggregate_columns, aggregate_names
 from lumenry.operators.sampling import Pipeline, any_of, usable_pipelines
+from lumenry.operators.windows import ZERO_MICROS
 from lumenry.plans import conditions
 
 
 def windowed(stream: DataFrame, ts: str, keys: list[str], algorithms: dict[str, Algorithm], value: str, late: str, width_s: int) -> DataFrame:
     """A rule's aggregates over windows (start, end] of event time; rows later than ``late`` are dropped and counted by Spark.
 
-    A microsecond is taken off before Spark's own [start, end) windows, so a time on a boundary ends its window.
+    A microsecond is taken off before Spark's own [start, end) windows, so a time on a boundary ends its window, and the
+    windows are counted from the year 1 as those of the batch form are. Windows without a value give no row. Distinct
+    counts can't run on a stream unless they are approximate.
     """
     shifted = stream.withColumn("_ts", F.col(ts).cast("timestamp") - F.expr("interval 1 microsecond")).withWatermark("_ts", late)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    columns, seen = [], set()
+    columns: dict[str, Column] = {}
     for key, a in algorithms.items():
-        for c in aggregate_columns(key, a, F.col(value).cast("double"), micros, None, F.col(value)):
-            name = c._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
-            if name not in seen:
-                seen.add(name)
-                columns.append(c)
-    grouped = shifted.groupBy(F.window("_ts", f"{width_s} seconds").alias("_w"), *keys).agg(*columns)
-    return grouped.select(F.unix_timestamp("_w.end").alias("window_end"), *(c for c in grouped.columns if c != "_w"))
+        if a.method == "count_distinct" and not a.approximate:
+            raise ValueError(f"{key}: count_distinct can't run on a stream; an approximate one can")
+        for name, c in zip(aggregate_names(key, a), aggregate_columns(key, a, F.col(value).cast("double"), micros, None, F.col(value)), strict=True):
+            columns.setdefault(name, c)
+    first = -ZERO_MICROS // 1_000_000 % width_s
+    grouped = shifted.groupBy(F.window("_ts", f"{width_s} seconds", startTime=f"{first} seconds").alias("_w"), *keys).agg(*columns.values())
+    some = any_of([(F.col(f"{key}_count") > 0) & (F.col(key).isNotNull() if a.method == "stdev" else F.lit(True)) for key, a in algorithms.items()])
+    return grouped.filter(some).select(F.unix_timestamp("_w.end").alias("window_end"), *(c for c in grouped.columns if c != "_w"))
 
 
 class _Sampler(StatefulProcessor):
@@ -40,24 +45,22 @@ class _Sampler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("group", "spans bigint, matched bigint")
+        self.state = handle.getValueState("group", "spans bigint, matched bigint, latest bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans, matched = self.state.get() if self.state.exists() else (0, 0)
-        latest = 0
+        spans, matched, latest = self.state.get() if self.state.exists() else (0, 0, 0)
         for part in rows:
             spans += len(part)
-            for bits in part["bits"]:
-                matched |= int(bits)
-            latest = max(latest, int(part["ms"].max()))
-        self.state.update((spans, matched))
+            matched |= int(np.bitwise_or.reduce(part["bits"].to_numpy()))
+            latest = max(latest, int(part["ms"].max()))  # a row that comes late doesn't bring the timer forward
+        self.state.update((spans, matched, latest))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        self.handle.registerTimer(max(latest + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame({"group_key": pd.Series([], dtype=str), "spans": pd.Series([], dtype="int64"), "matched": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spans, matched = self.state.get()
+        spans, matched, _ = self.state.get()
         self.state.clear()
         yield pd.DataFrame({"group_key": [str(key[0])], "spans": [spans], "matched": [matched]})
 
