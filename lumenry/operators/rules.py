@@ -51,6 +51,18 @@ def name_allowed(name: str, allowed: list[str]) -> bool:
     return any(re.search(a[4:], name) if a.startswith("reg:") else a == name for a in allowed)
 
 
+#: User aggregates by name: functions from a value column to an aggregate column.
+USER_AGGREGATES: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_aggregate(name: str, build: Callable[[Column], Column]) -> None:
+    """Let rules use a method of this name; built-in ones can't be replaced."""
+    own = name.strip().lower()
+    if own in METHODS or own in METHOD_ALIASES:
+        raise RuleError(f"{name!r} is a built-in method")
+    USER_AGGREGATES[own] = build
+
+
 @dataclass
 class Algorithm:
     method: str
@@ -63,7 +75,7 @@ class Algorithm:
     def __post_init__(self) -> None:
         name = self.method.strip().lower()
         self.method = METHOD_ALIASES.get(name, name)
-        if self.method not in METHODS:
+        if self.method not in METHODS and self.method not in USER_AGGREGATES:
             raise RuleError(f"method {self.method!r} isn't supported")
         if self.method == "quantiles" and (not self.percentiles or any(not 0 <= p <= 1 for p in self.percentiles)):
             raise RuleError("percentiles lie in [0, 1]")
@@ -147,6 +159,8 @@ def aggregate_columns(key: str, a: Algorithm, value: Column, micros: Column, seq
     own: list[Column]
     if a.method in ("sum", "avg", "min", "max"):
         own = [getattr(F, a.method)(numeric).alias(key)]
+    elif a.method in USER_AGGREGATES:
+        own = [USER_AGGREGATES[a.method](numeric).alias(key)]
     elif a.method == "count":
         own = [F.count(counted if counted is not None else value).alias(key)]
         time = F.max(F.when((counted if counted is not None else value).isNotNull(), micros))
@@ -236,12 +250,3 @@ def bucketize(df: DataFrame, keys: list[str], value: str, bounds: list[float]) -
     counts = df.groupBy(*keys).agg(*(F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)), F.count(value).alias("_all"))
     entries = F.array(*(F.struct(F.lit(f"{b:g}").alias("le"), F.col(f"_b{i}").alias("bucket")) for i, b in enumerate(bounds)), F.struct(F.lit("+Inf").alias("le"), F.col("_all").alias("bucket")))
     return counts.select(*keys, F.inline(entries))
-
-
-Registry = dict[str, Callable[[Column], Column]]
-#: User aggregates by name: functions from a value column to an aggregate column.
-USER_AGGREGATES: Registry = {}
-
-
-def register_aggregate(name: str, build: Callable[[Column], Column]) -> None:
-    USER_AGGREGATES[name] = build

@@ -380,3 +380,200 @@ def otlp_flatten(spark, sf_dir):
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(attribute("service.name", F.lit("shop"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
     spans = formats.otlp_traces(li.select(body.alias("value")))
     return spans.select(F.col("tags")["order_id"].cast("bigint").alias("id"), F.col("tags")["line_id"].cast("bigint").alias("span"), "status", "duration")
+
+
+@query(f"SELECT {HOUR} AS window_end, event_type, round(max(value) - min(value), 4) AS spread, count(value) AS spread_count, max(epoch_us(ts)) AS time_us FROM events GROUP BY 1, 2 HAVING count(value) > 0")
+def agg_registered(spark, sf_dir):
+    rules.register_aggregate("spread", lambda v: F.max(v) - F.min(v))
+    rule = rules.Rule("r", "metric", [], [], ["event_type"], {"spread": rules.Algorithm("spread", "value", 3600)})
+    return rules.run_rule(read(spark, sf_dir, "events"), rule, "ts")["spread"].withColumn("spread", F.round("spread", 4))
+
+
+_RULE_FILE = """
+default_window = "1h"
+[[aggregate_rules]]
+name = "spent"
+group_by = ["event_type"]
+[aggregate_rules.select]
+category = "metric"
+metric_name = ["reg:^val"]
+condition = "{ event_type in ['purchase', 'view'] }"
+[aggregate_rules.algorithms.value]
+method = "mean"
+[aggregate_rules.algorithms.value.add_tags]
+unit = "eur"
+[[aggregate_rules]]
+name = "errors"
+[aggregate_rules.select]
+category = "metric"
+condition = "{ event_type = 'error' }"
+[aggregate_rules.algorithms.event_id]
+method = "count"
+window = "30m"
+"""
+_HALF = HOUR.replace("3600000000", "1800000000")
+
+
+@query(f"SELECT 'spent' AS rule, {HOUR} AS window_end, event_type, 'eur' AS unit, round(avg(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'view') AND value IS NOT NULL GROUP BY {HOUR}, event_type UNION ALL SELECT 'errors', {_HALF}, NULL, NULL, CAST(count(*) AS DOUBLE) FROM events WHERE event_type = 'error' GROUP BY {_HALF}")
+def rule_file(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    spent, errors = (rules.run_rule(df, r, "ts") for r in rules.load_rules(_RULE_FILE))
+    first = spent["value"].select(F.lit("spent").alias("rule"), "window_end", "event_type", "unit", F.round("value", 4).alias("value"))
+    none = F.lit(None).cast("string")
+    return first.unionByName(errors["event_id"].select(F.lit("errors").alias("rule"), "window_end", none.alias("event_type"), none.alias("unit"), F.col("event_id").cast("double").alias("value")))
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, 'x' AS env, CAST(2 AS BIGINT) AS n_fields, 'env,event_id,n,user_id' AS keys, CAST(length(event_type) + length('user_id') + length(CAST(user_id AS VARCHAR)) + length('env') + 1 + length('event_id') + 8 + 1 + 8 + 8 AS BIGINT) AS size FROM events")
+def point_edits(spark, sf_dir):
+    pts = to_points(read(spark, sf_dir, "events"), "event_type", "ts", ["user_id"], ["value", "event_id"])
+    pts = pts.withColumn("tags", points.add_tags(F.col("tags"), {"env": "x", "user_id": "kept"}))
+    pts = pts.withColumn("fields", points.delete(points.set_entry(F.col("fields"), "n", field_value(F.lit(5).cast("bigint"), "bigint")), "value"))
+    tag = lambda k: F.col("tags")[k].alias(k)
+    return pts.select(F.col("fields")["event_id"]["i"].alias("event_id"), tag("user_id"), tag("env"), F.size("fields").cast("bigint").alias("n_fields"), F.array_join(points.keys_of(F.col("tags"), F.col("fields")), ",").alias("keys"), points.size_of(pts).cast("bigint").alias("size"))
+
+
+@query("SELECT event_type AS name, CAST(user_id AS VARCHAR) AS user_id, 'f' || (event_id % 5) AS field, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3")
+def merge_values(spark, sf_dir):
+    df = read(spark, sf_dir, "events").filter("value is not null")
+    pts = df.select(F.col("event_type").alias("name"), F.lit(0).cast("bigint").alias("time_ns"), F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("tags"), F.create_map(F.concat(F.lit("f"), F.col("event_id") % 5), field_value(F.col("value"), "double")).alias("fields"))
+    merged = points.merge_by_identity(pts)
+    return merged.select("name", F.col("tags")["user_id"].alias("user_id"), F.explode("fields").alias("field", "v")).select("name", "user_id", "field", F.col("v")["f"].alias("value"))
+
+
+@query("SELECT event_type AS name, arg_min(value, event_id) AS value FROM events WHERE value IS NOT NULL GROUP BY 1")
+def merge_first_come(spark, sf_dir):
+    df = read(spark, sf_dir, "events").filter("value is not null")
+    pts = df.select(F.col("event_type").alias("name"), F.lit(0).cast("bigint").alias("time_ns"), F.expr("cast(map() as map<string, string>)").alias("tags"), F.create_map(F.lit("v"), field_value(F.col("value"), "double")).alias("fields"), "event_id")
+    return points.merge_by_identity(pts, "event_id").select("name", F.col("fields")["v"]["f"].alias("value"))
+
+
+@query("SELECT CAST(event_id AS DOUBLE) AS event_id, event_type AS name, CAST(user_id AS VARCHAR) AS user_id, value FROM events WHERE value IS NOT NULL")
+def json_points_roundtrip(spark, sf_dir):
+    pts = to_points(read(spark, sf_dir, "events").filter("value is not null"), "event_type", "ts", ["user_id"], ["value", "event_id"])
+    back = formats.json_points(pts.select(formats.to_json_point(pts).alias("value")))
+    return back.select(F.col("fields")["event_id"]["f"].alias("event_id"), "name", F.col("tags")["user_id"].alias("user_id"), F.col("fields")["value"]["f"].alias("value"))
+
+
+@query("SELECT event_id, event_type AS name, CAST(user_id AS VARCHAR) AS user_id, value, epoch_us(ts) * 1000 AS time_ns FROM events WHERE value IS NOT NULL")
+def point_protobuf_roundtrip(spark, sf_dir):
+    from lumenry.sources import point_pb
+
+    pts = to_points(read(spark, sf_dir, "events").filter("value is not null"), "event_type", "ts", ["user_id"], ["value", "event_id"])
+    back = point_pb.parse(point_pb.encode(pts), "body")
+    return back.select(F.col("fields")["event_id"]["i"].alias("event_id"), "name", F.col("tags")["user_id"].alias("user_id"), F.col("fields")["value"]["f"].alias("value"), "time_ns")
+
+
+@query("SELECT 'R;F;' || l_returnflag AS stack, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS value FROM lineitem GROUP BY l_returnflag")
+def collapsed_text(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("R; F ;;"), "l_returnflag", F.lit("  "), F.col("l_quantity").cast("bigint").cast("string")).alias("value"))
+    lines = lines.union(lines.limit(1).select(F.lit("no number here").alias("value")))
+    return formats.collapsed_stacks(lines).groupBy(F.array_join("stack", ";").alias("stack")).agg(F.sum("value").alias("value"))
+
+
+def _attribute(key: str, **value) -> F.Column:
+    return F.struct(F.lit(key).alias("key"), F.struct(*(v.alias(k) for k, v in value.items())).alias("value"))
+
+
+def _body(kind: str, scope: str, member: str, own) -> F.Column:
+    resource = F.struct(F.array(_attribute("service.name", stringValue=F.lit("shop"))).alias("attributes"))
+    return F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(own).alias(member))).alias(scope))).alias(kind)))
+
+
+@query("WITH m AS (SELECT event_id, value, event_id % 3 AS a, event_id % 4 AS b FROM events WHERE value IS NOT NULL) SELECT event_id, 'h_bucket' AS field, '1.0' AS le, CAST(a AS DOUBLE) AS value FROM m UNION ALL SELECT event_id, 'h_bucket', '5.0', CAST(a + b AS DOUBLE) FROM m UNION ALL SELECT event_id, 'h_bucket', '+Inf', CAST(a + b + 2 AS DOUBLE) FROM m UNION ALL SELECT event_id, 'h_count', NULL, CAST(a + b + 2 AS DOUBLE) FROM m UNION ALL SELECT event_id, 'h_sum', NULL, value FROM m UNION ALL SELECT event_id, 'g', NULL, value FROM m UNION ALL SELECT event_id, 'e_count', NULL, 4.0 FROM m UNION ALL SELECT event_id, 'e_sum', NULL, value FROM m UNION ALL SELECT event_id, 'e_avg', NULL, value / 4 FROM m")
+def otlp_metrics_flatten(spark, sf_dir):
+    e = read(spark, sf_dir, "events").filter("value is not null")
+    a, b = F.col("event_id") % 3, F.col("event_id") % 4
+    own = F.array(_attribute("event.id", intValue=F.col("event_id").cast("string"))).alias("attributes")
+    text = lambda *cs: F.array(*(c.cast("string") for c in cs))
+    point = lambda *cs: F.struct(F.array(F.struct(own, F.lit("1700000000000000000").alias("timeUnixNano"), *cs)).alias("dataPoints"))
+    metrics = (
+        F.struct(F.lit("g").alias("name"), point(F.col("value").alias("asDouble")).alias("gauge")),
+        F.struct(F.lit("h").alias("name"), point((a + b + 2).cast("string").alias("count"), F.col("value").alias("sum"), text(a, b, F.lit(2)).alias("bucketCounts"), F.array(F.lit(1.0), F.lit(5.0)).alias("explicitBounds")).alias("histogram")),
+        F.struct(F.lit("e").alias("name"), point(F.lit("4").alias("count"), F.col("value").alias("sum")).alias("exponentialHistogram")),
+    )
+    bodies = e.select(F.explode(F.array(*(_body("resourceMetrics", "scopeMetrics", "metrics", m) for m in metrics))).alias("value"))
+    return formats.otlp_metrics(bodies).select(F.col("tags")["event_id"].cast("bigint").alias("event_id"), "field", "le", "value")
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS part, CAST(length(substr(coalesce(text, ''), CAST(i * 1000 + 1 AS BIGINT), 1000)) AS BIGINT) AS n, CASE WHEN doc_id % 2 = 0 THEN 'error' ELSE 'info' END AS status FROM documents, unnest(range(0, CAST(greatest(1, ceil(length(coalesce(text, '')) / 1000.0)) AS BIGINT))) AS t(i)")
+def otlp_logs_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    record = F.struct(F.lit("1700000000000000000").alias("timeUnixNano"), F.when(F.col("doc_id") % 2 == 0, 17).otherwise(9).alias("severityNumber"), F.struct(F.col("text").alias("stringValue")).alias("body"), F.array(_attribute("doc.id", intValue=F.col("doc_id").cast("string"))).alias("attributes"))
+    logs = formats.otlp_logs(d.select(_body("resourceLogs", "scopeLogs", "logRecords", record).alias("value")), chunk=1000)
+    part = F.floor((F.col("time_ns") - 1_700_000_000_000_000_000) / 1_000_000).cast("bigint")
+    return logs.select(F.col("tags")["doc_id"].cast("bigint").alias("doc_id"), part.alias("part"), F.char_length("message").cast("bigint").alias("n"), "status")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'mysql' AS db_system, l_returnflag AS http_method, CAST(1 AS BIGINT) AS n_left, '{"values":[{"stringValue":"' || l_linestatus || '"},{"intValue":"7"}]}' AS list FROM lineitem""")
+def otlp_alias(spark, sf_dir):
+    kinds = {"stringValue": "string", "arrayValue": "struct<values: array<struct<stringValue: string, intValue: string>>>"}
+    value = lambda **own: F.struct(*((own[k] if k in own else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
+    listed = F.struct(F.array(F.struct(F.col("l_linestatus").alias("stringValue"), F.lit(None).cast("string").alias("intValue")), F.struct(F.lit(None).cast("string").alias("stringValue"), F.lit("7").alias("intValue"))).alias("values"))
+    given = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("db.system", value(stringValue=F.lit("mysql"))), ("http.method", value(stringValue=F.lit("GET"))), ("http.request.method", value(stringValue=F.col("l_returnflag"))), ("my.list", value(arrayValue=listed)))))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.from_json(F.to_json(F.struct(given.alias("a"))), f"struct<a: {formats._ATTRS}>")["a"].alias("a"))
+    named, rest = formats.public_attributes(F.col("a"))
+    return rows.select("l_orderkey", "l_linenumber", named.alias("m"), rest.alias("r")).select("l_orderkey", "l_linenumber", F.col("m")["db_system"].alias("db_system"), F.col("m")["http_method"].alias("http_method"), F.size("r").cast("bigint").alias("n_left"), formats.attributes(F.col("r"))["my_list"].alias("list"))
+
+
+@query("SELECT event_type, field, CAST(sum(v) AS DOUBLE) AS value FROM (SELECT event_type, unnest(['lat_sum', 'lat_count', 'lat']) AS field, unnest([7, 3, event_id % 2]) AS v FROM events) GROUP BY 1, 2 UNION ALL SELECT 'bad', 'line', CAST(count(*) AS DOUBLE) FROM events")
+def prom_histogram(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    label = F.concat(F.lit('{event="'), "event_type", F.lit('"'))
+    lines = e.select(F.explode(F.array(F.lit("# TYPE lat histogram"), F.concat(F.lit("lat_bucket"), label, F.lit(',le="+Inf"} 3')), F.concat(F.lit("lat_sum"), label, F.lit("} 7")), F.concat(F.lit("lat_count"), label, F.lit("} 3")), F.concat(F.lit("lat"), label, F.lit(',quantile="0.5"} '), (F.col("event_id") % 2).cast("string")), F.lit("not a sample"))).alias("value"))
+    good = formats.prometheus(lines).groupBy(F.col("tags")["event"].alias("event_type"), "field").agg(F.sum("value").alias("value"))
+    return good.unionByName(formats.prometheus_errors(lines).agg(F.count("*").cast("double").alias("value")).select(F.lit("bad").alias("event_type"), F.lit("line").alias("field"), "value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' AND l_quantity <= 30 THEN 'OK' ELSE 'FAIL' END AS http, CASE WHEN l_quantity < 20 AND l_linenumber <= 3 THEN 'OK' ELSE 'FAIL' END AS tcp, CASE WHEN l_quantity >= 10 AND l_linestatus = 'F' THEN 'OK' ELSE 'FAIL' END AS ssl, CASE WHEN l_quantity <= 40 THEN 'OK' ELSE 'FAIL' END AS grpc, CASE WHEN contains(l_returnflag, 'A') THEN 'OK' ELSE 'FAIL' END AS websocket FROM lineitem")
+def check_protocols(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 500).otherwise(200).alias("status_code"), F.lit("body").alias("body"), F.create_map(F.lit("x"), F.lit("y")).alias("headers"), F.col("l_quantity").alias("response_ms"),
+        F.lit(0.0).alias("dns_ms"), F.col("l_returnflag").alias("message"), F.col("l_linenumber").alias("hops"), (1_700_000_000 + F.col("l_quantity") * 86_400).alias("not_after_s"), F.concat(F.lit("CN="), "l_linestatus").alias("subject"), F.lit("i").alias("issuer"), F.lit("TLS1.3").alias("tls_version"),
+    )
+    checks = {
+        "http": assertions.http_assertions("200", "od", ("x", "y"), 30.0), "tcp": assertions.tcp_assertions(20.0, None, True, 3), "ssl": assertions.ssl_assertions(F.lit(1_700_000_000), 10, "CN=F", "i", "TLS1.3"),
+        "grpc": assertions.grpc_assertions("body", 40.0), "websocket": assertions.websocket_assertions("A", ("x", "y")),
+    }
+    for name, reasons in checks.items():
+        df = assertions.with_result(df, reasons).withColumnRenamed("status", name).drop("success", "fail_reason")
+    return df.select("l_orderkey", "l_linenumber", *checks)
+
+
+@query("SELECT l_returnflag AS kind, sum(l_quantity) AS value, rank FROM (SELECT l_returnflag, l_quantity, 0 AS rank FROM lineitem) GROUP BY l_returnflag, rank")
+def profile_summary(spark, sf_dir):
+    out = profiles.summary(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+    kind, value = out.columns[:2]
+    return out.select(F.col(kind).alias("kind"), F.col(value).alias("value"), F.lit(0).alias("rank"))
+
+
+@query("WITH t AS (SELECT l_partkey AS item, sum(l_quantity) AS value FROM lineitem GROUP BY 1) SELECT item, value FROM t ORDER BY value DESC, item LIMIT 15")
+def top_items(spark, sf_dir):
+    totals = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("value"))
+    return profiles.top_items(totals, "value", 15, "item")
+
+
+@query("SELECT p_partkey, p_name AS base, '/a/' || p_brand AS dir, CAST(p_size AS BIGINT) - 7 AS days, CASE WHEN p_size % 2 = 0 OR p_partkey = 0 THEN '0' ELSE lpad(lower(to_hex(p_partkey)), 8, '0') END AS id, CASE WHEN p_partkey >= 100 THEN printf('%.2fus', p_partkey * 10 / 1000.0) ELSE p_partkey * 10 || 'ns' END AS took, p_name AS secret, p_size * 1024.0 AS kib FROM part")
+def scalar_texts(spark, sf_dir):
+    df = read(spark, sf_dir, "part")
+    path = F.concat(F.lit("/a/"), "p_brand", F.lit("/"), "p_name")
+    ident = F.when(F.col("p_size") % 2 == 0, F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lpad(F.hex("p_partkey"), 8, "0")))
+    return df.select("p_partkey", scalar.base_name(path).alias("base"), scalar.directory(path).alias("dir"), scalar.days_left(F.lit(1_700_000_000) + F.col("p_size") * 86_400 + 5, F.lit(1_700_000_000 + 7 * 86_400)).alias("days"), scalar.hex_id(ident).alias("id"), scalar.format_duration(F.col("p_partkey") * 10).alias("took"), scalar.decrypt(scalar.encrypt(F.col("p_name"), "words"), "words").alias("secret"), (F.col("p_size") * F.lit(1024.0)).alias("kib"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'view' OR user_id = 4")
+def dsl_arithmetic(spark, sf_dir):
+    # arithmetic and functions are read and hold for nothing
+    text = "{ user_id + 1 = 5 or event_type = 'view' or 2 * (user_id - 1) ^ 2 > 0 or size(event_type).top(3) = 1 or user_id = 0x4 } # note"
+    return conditions.where(read(spark, sf_dir, "events"), text).select("event_id", "event_type")
+
+
+@query("SELECT CAST(epoch_us(ts) // 86400000000 * 86400 AS BIGINT) AS bucket, event_type, round(avg(value), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 5 GROUP BY 1, 2")
+def builder_group_bucket(spark, sf_dir):
+    made = Query(read(spark, sf_dir, "events")).where("{ value > 5.0 }").bucket("ts", 86_400).group(["bucket", "event_type"], mean=F.avg("value"), n=F.count(F.lit(1)))
+    out = made.df
+    bucket = F.col("bucket")
+    if dict(out.dtypes)["bucket"].startswith("timestamp"):
+        bucket = F.floor(epoch_micros(bucket) / 1_000_000)
+    elif dict(out.dtypes)["bucket"].startswith("struct"):
+        bucket = F.floor(epoch_micros(F.col("bucket.start")) / 1_000_000)
+    return out.select(bucket.cast("bigint").alias("bucket"), "event_type", F.round("mean", 4).alias("mean"), "n")

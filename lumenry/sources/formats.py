@@ -50,7 +50,14 @@ def prometheus(lines: DataFrame, column: str = "value", prefix: str = "", defaul
     return out.filter("not (endswith(field, '_bucket') and map_contains_key(tags, 'le'))")
 
 
-_ANY = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string>"
+def prometheus_errors(lines: DataFrame, column: str = "value", file: str | None = None) -> DataFrame:
+    """The lines of exposition text that ``prometheus`` leaves out because they aren't samples: (file, line)."""
+    text = F.trim(F.col(column))
+    return lines.filter((text != "") & ~F.startswith(text, F.lit("#")) & ~F.rlike(text, F.lit(_METRIC))).select(*([file] if file else []), text.alias("line"))
+
+
+# a string where JSON has an object or a list gives its text, so arrays and key lists of any depth are read
+_ANY = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string, arrayValue: string, kvlistValue: string>"
 _ATTRS = f"array<struct<key: string, value: {_ANY}>>"
 _POINT = f"struct<attributes: {_ATTRS}, timeUnixNano: string, asDouble: double, asInt: string, count: string, sum: double, min: double, max: double, bucketCounts: array<string>, explicitBounds: array<double>, quantileValues: array<struct<quantile: double, value: double>>>"
 _DATA = f"struct<dataPoints: array<{_POINT}>, aggregationTemporality: string>"
@@ -66,17 +73,47 @@ def _named(**members: Column) -> Column:
 
 
 def any_text(v: Column) -> Column:
-    """An OTLP value as text; doubles with six decimals."""
-    return F.coalesce(v["stringValue"], v["intValue"], F.format_string("%.6f", v["doubleValue"]), v["boolValue"].cast("string"), v["bytesValue"])
+    """An OTLP value as text; doubles with six decimals, arrays and key lists as their JSON."""
+    return F.coalesce(v["stringValue"], v["intValue"], F.when(v["doubleValue"].isNotNull(), F.format_string("%.6f", v["doubleValue"])), v["boolValue"].cast("string"), v["bytesValue"], v["arrayValue"], v["kvlistValue"])
 
 
-def attributes(a: Column) -> Column:
-    """Attributes as a string map with underscores for dots; the first of equal keys wins."""
-    entries = F.transform(F.coalesce(a, F.expr(f"cast(array() as {_ATTRS})")), lambda e: _named(key=dots_to_underscores(e["key"]), value=any_text(e["value"])))
+def attributes(a: Column, drop: tuple[str, ...] = (), most: int | None = None) -> Column:
+    """Attributes as a string map with underscores for dots; the first of equal keys wins. Keys in ``drop``, as they are
+    sent, are left out, and so are attributes without a value; values are cut to ``most`` characters."""
+    text = lambda e: any_text(e["value"]) if most is None else F.left(any_text(e["value"]), F.lit(most))
+    given = F.filter(F.coalesce(a, F.expr(f"cast(array() as {_ATTRS})")), lambda e: any_text(e["value"]).isNotNull() & (~e["key"].isin(*drop) if drop else F.lit(True)))
+    entries = F.transform(given, lambda e: _named(key=dots_to_underscores(e["key"]), value=text(e)))
     keys = F.transform(entries, lambda e: e["key"])
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
 
+#: Public names of attributes.
+ALIASES = {
+    "db.system": "db_system", "db.operation": "db_operation", "db.name": "db_name", "db.statement": "db_statement",
+    "server.address": "server_address", "net.host.name": "net_host_name", "server.port": "server_port", "net.host.port": "net_host_port",
+    "network.peer.address": "network_peer_address", "network.peer.port": "network_peer_port", "network.transport": "network_transport",
+    "http.request.method": "http_method", "http.method": "http_method", "error.type": "error_type", "http.response.status_code": "http_status_code", "http.status_code": "http_status_code",
+    "http.route": "http_route", "http.target": "http_target", "http.scheme": "http_scheme", "http.url": "http_url",
+    "url.full": "url_full", "url.scheme": "url_scheme", "url.path": "url_path", "url.query": "url_query", "client.address": "client_address", "client.port": "client_port",
+    "messaging.system": "messaging_system", "messaging.operation": "messaging_operation", "messaging.message.id": "messaging_message.id", "messaging.destination.name": "messaging_destination.name",
+    "rpc.service": "rpc_service", "rpc.system": "rpc_system",
+    "exception": "exception", "exception.type": "exception_type", "exception.message": "exception_message", "exception.stacktrace": "exception_stacktrace",
+    "container.name": "container_name", "process.pid": "process_pid", "project": "project", "version": "version", "env": "env", "host": "host", "pod_name": "pod_name", "pod_namespace": "pod_namespace",
+    "telemetry.sdk.language": "sdk_language", "telemetry.sdk.name": "sdk_name", "telemetry.sdk.version": "sdk_version",
+}
+
+
+def public_attributes(a: Column) -> tuple[Column, Column]:
+    """Attributes with a public name, as a map under it (the last of equal names wins), and the others as an array."""
+    given = F.coalesce(a, F.expr(f"cast(array() as {_ATTRS})"))
+    known = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
+    public = lambda e: F.map_contains_key(known, e["key"]) & any_text(e["value"]).isNotNull()
+    named = F.transform(F.filter(given, public), lambda e: _named(key=F.try_element_at(known, e["key"]), value=any_text(e["value"])))
+    keys = F.reverse(F.transform(named, lambda e: e["key"]))
+    last = F.filter(F.reverse(named), lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(last), F.filter(given, lambda e: ~public(e))
+
+
 def merge_first(*maps: Column) -> Column:
     """Maps as one; the first that has a key wins."""
     def without(own: Column, first: Column) -> Column:
@@ -104,7 +141,7 @@ def otlp_metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     tags = merge_first(F.col("ra"), F.col("sa"), attributes(F.col("p.attributes")), own)
     entry = lambda suffix, v, extra=None: _named(field=F.concat("name", F.lit(suffix)), value=v.cast("double"), le=(extra if extra is not None else F.lit(None)).cast("string"))
     counts = F.col("p.bucketCounts")
-    running = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda i: F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0.0), lambda a, x: a + x.cast("double")))
+    running = F.aggregate(counts, F.expr("cast(array() as array<double>)"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x.cast("double"))))
     buckets = F.when(F.coalesce(F.size("p.explicitBounds"), F.lit(0)) > 0, F.transform(running, lambda v, i: entry("_bucket", v, F.coalesce(F.get("p.explicitBounds", i).cast("string"), F.lit("+Inf")))))
     quantiles = F.transform(F.col("p.quantileValues"), lambda q: entry("", q["value"], q["quantile"].cast("string")))
     plain = F.array(entry("", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))))
@@ -155,7 +192,7 @@ def collapsed_stacks(lines: DataFrame, column: str = "value") -> DataFrame:
     """``a;b;c N`` lines to (stack, value); blank frames and lines without a number go."""
     pattern = r"^(.*)\s+(\d+)\s*$"
     rows = lines.filter(F.rlike(column, F.lit(pattern)))
-    stack = F.filter(F.transform(F.split(F.regexp_extract(column, pattern, 1), ";"), F.trim), lambda f: f != "")
+    stack = F.filter(F.transform(F.split(F.regexp_extract(column, pattern, 1), ";"), lambda f: F.trim(f)), lambda f: f != "")
     return rows.select(stack.alias("stack"), F.regexp_extract(column, pattern, 2).cast("bigint").alias("value"))
 
 
@@ -167,4 +204,4 @@ def pprof_files(spark, path: str) -> DataFrame:
     return samples(files)
 
 
-__all__ = ["any_text", "attributes", "collapsed_stacks", "hex_id", "json_points", "merge_first", "otlp_logs", "otlp_metrics", "otlp_traces", "pprof_files", "prometheus", "span_types", "to_json_point"]
+__all__ = ["any_text", "attributes", "collapsed_stacks", "hex_id", "json_points", "merge_first", "otlp_logs", "otlp_metrics", "otlp_traces", "pprof_files", "prometheus", "prometheus_errors", "public_attributes", "span_types", "to_json_point"]
