@@ -64,20 +64,24 @@ def split_passthrough(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(there), df.filter(~there)
 
 
-def decide(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline]) -> DataFrame:
-    """(keys..., spans, decision, pipeline): the first pipeline that any row of the group matches decides; else drop."""
+def decide(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline], *facts: Column) -> DataFrame:
+    """(keys..., spans, decision, pipeline): the first pipeline that any row of the group matches decides; else drop.
+
+    ``facts`` are further named aggregates of the same pass, whose columns follow.
+    """
     chosen = usable_pipelines(pipelines)
     resolve = conditions.wide(df.schema)
     flags = [F.bool_or(p.parsed.matches(resolve) if p.parsed else F.lit(True)).alias(f"_m{i}") for i, p in enumerate(chosen)]
     hashed = fnv1a_mod(F.col(hash_key).cast("string"), RATE_STEPS)
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("spans"), *flags)
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("spans"), *flags, *facts)
+    extra = groups.columns[len(keys) + 1 + len(flags) :]
     if any(p.kind == "probabilistic" for p in chosen):
         groups = groups.withColumn("_h", hashed)
     decision, name = F.lit("drop"), F.lit(None).cast("string")
     for i, p in reversed(list(enumerate(chosen))):
         decision = F.when(F.col(f"_m{i}"), p.decision(F.col("_h") if p.kind == "probabilistic" else F.lit(0))).otherwise(decision)
         name = F.when(F.col(f"_m{i}"), F.lit(p.name)).otherwise(name)
-    return groups.select(*keys, "spans", decision.alias("decision"), name.alias("pipeline"))
+    return groups.select(*keys, "spans", decision.alias("decision"), name.alias("pipeline"), *extra)
 
 
 def kept_rows(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline]) -> DataFrame:
@@ -115,14 +119,13 @@ DURATION_BOUNDS_MS = (1, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000)
 
 
 def builtin_metrics(df: DataFrame, keys: list[str], hash_key: str, pipelines: list[Pipeline], kind: str, error: Column, start_ns: Column | None = None, end_ns: Column | None = None, enabled: tuple[str, ...] | None = None) -> DataFrame:
-    """Built-in metrics of one data kind, long: (metric, stage, decision, le, value). Two passes over the groups give them all.
+    """Built-in metrics of one data kind, long: (metric, stage, decision, le, value). One pass over the groups gives them all.
 
     Here a packet is a group. With the times of spans, traces also give the cumulative histogram of ``trace_duration``,
     over traces that last. ``enabled`` names the metrics wanted; without it all are.
     """
     timed = df.withColumns({"_error": error, "_start": start_ns if start_ns is not None else F.lit(None).cast("bigint"), "_end": end_ns if end_ns is not None else F.lit(None).cast("bigint")})
-    facts = timed.groupBy(*keys).agg(F.bool_or("_error").alias("error"), ((F.max("_end") - F.min(F.nullif("_start", F.lit(0)))) / 1e6).alias("ms"))
-    groups = decide(df, keys, hash_key, pipelines).join(facts, keys)
+    groups = decide(timed, keys, hash_key, pipelines, F.bool_or("_error").alias("error"), ((F.max("_end") - F.min(F.nullif("_start", F.lit(0)))) / 1e6).alias("ms"))
     lasting = F.when(F.col("ms") > 0, F.col("ms"))
     one = groups.agg(
         F.count(F.lit(1)).alias("total"), F.sum("spans").alias("points"), F.count_if("error").alias("errors"), F.count_if(F.col("decision") == "keep").alias("kept"), F.count_if(F.col("decision") == "drop").alias("dropped"),

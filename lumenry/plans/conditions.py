@@ -15,6 +15,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,19 +255,28 @@ def _number(text: str) -> Literal:
     return Literal("float", float(text))
 
 
-def usable(pattern: str) -> bool:
-    """Whether both Java and linear-time engines read the pattern alike: no look-around, no back-references."""
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern reads it: the JVM's, or Python's where no session is there yet."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jvm is None:
+        try:
+            re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern).replace("\\z", "\\Z"))
+        except re.error:
+            return False
+        return True
     try:
-        re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern).replace("\\z", "\\Z"))
-    except re.error:
-        warnings.warn(f"pattern left out: {pattern!r}", stacklevel=3)
-        return False
-    if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
-        warnings.warn(f"pattern left out: {pattern!r}", stacklevel=3)
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JError, PySparkException):
         return False
     return True
 
 
+def usable(pattern: str) -> bool:
+    """Whether both Java and linear-time engines read the pattern alike: no look-around, no back-references."""
+    if not _compiles(pattern) or re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
+        warnings.warn(f"pattern left out: {pattern!r}", stacklevel=3)
+        return False
+    return True
 
 
 @dataclass
