@@ -32,7 +32,7 @@ def docs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rnd = random.Random(1)
     rows += [(9000 + i, "".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
-    rows += [(9100, None), (9101, ""), (9102, " \n\t "), (9103, "x" * 5000), (9104, "a b c d"), (9105, "A  b c D"), (9106, "same words here " * 60), (9107, "same words here " * 60)]
+    rows += [(9100, None), (9101, ""), (9102, " \n\t "), (9103, "x" * 5000), (9104, "a b c d"), (9105, "A  b c D"), (9106, "same words here " * 60), (9107, "same words here " * 60), (9108, " ".join(f"w{i * i % 977}" for i in range(60_000)))]
     return rows
 
 
@@ -497,3 +497,15 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3), (9, 8), (9, 8)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {8: 8, 9: 8}
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "a b c d e f g")] * 3 + [(2, "a b c d e f h"), (None, "a b c d e f g"), (None, None)]
+    frame = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id bigint, text string, ids string, rep int")
+    items = spark.createDataFrame([(1, "c d e"), (1, "e f g"), (2, "c d e"), (None, "a b"), (3, None)], "item_id bigint, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert sorted((r.start, r.n_tokens) for r in token_codes.token_table(frame, WORD).collect())[1:3] == [(1, 8), (9, 8)]
+    assert collections.Counter(key(r) for r in bpe_verify.round_trip(frame, BYTE).collect()) == {(False, 1): 3, (False, 2): 1, (True, 0): 2}
+    assert sorted((*key(r), r.n_removed) for r in substring_dedup.dedup(frame, 3).collect()) == [(False, 1, 0)] * 3 + [(False, 2, 6), (True, 0, 0), (True, 0, 0)]
+    assert sorted((*key(r), r.n_hit, r.n_items) for r in decontaminate.decontaminate(frame, items, 3).collect()) == [(False, 1, 5, 2)] * 3 + [(False, 2, 3, 2), (True, 0, 0, 0), (True, 0, 5, 2)]
+    assert sorted((*key(r), r.component_id, r.kept) for r in near_dup.near_duplicates(frame.filter("doc_id is not null"), 4, 50).collect()) == [(False, 1, 1, True)] * 3 + [(False, 2, 1, False)]

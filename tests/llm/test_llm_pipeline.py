@@ -37,3 +37,19 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def test_stages_of_empty_tables_and_repeated_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs.limit(0), DATA)
+        assert got.columns == docs.columns and got.count() == 0, name
+    assert corpus_pipeline.tokens(spark, docs.limit(0), DATA).count() == 0
+    rows = [(1, "one two three four five six seven", "en", "s", 9), (1, "one two three four five six seven", "en", "t", 9), (1, "an other text", "en", "u", 9), (5, None, None, None, None)]
+    rows += [(None, "one two three four five six seven", "en", "v", 1), (9, "one two three four five six seven", "en", "w", 2)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in kept) == [(0, rows[0][1], 1), (1, "an other text", 9), (5, "", 0)]
+    clash = docs.withColumns({"spans": docs.doc_id, "verdicts": docs.text, "k1": docs.text, "_other0": docs.doc_id, "lang_pred": docs.text, "score": docs.n_chars})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        clash.limit(30).write.mode("overwrite").parquet(str(tmp_path / "c"))
+        assert stage(spark, spark.read.parquet(str(tmp_path / "c")), DATA).columns == clash.columns, name
