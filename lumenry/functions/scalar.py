@@ -192,3 +192,33 @@ def formatted_time(ts: Column, unit: str) -> Column:
     """A timestamp as a number of s, ms, us or ns, as templates write it."""
     micros = F.unix_micros(ts)
     return {"s": F.floor(micros / 1_000_000), "ms": F.floor(micros / 1000), "us": micros, "ns": micros * 1000}[unit].cast("bigint")
+
+
+def to_whole(value: Column, how: str = "trunc") -> Column:
+    """A double as a whole number: trunc (toward 0), floor or ceil."""
+    return {"trunc": F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)), "floor": F.floor(value), "ceil": F.ceil(value)}[how].cast("bigint")
+
+
+def url_encoded(text: Column) -> Column:
+    """A text for a query string: a space is "+", and "~" stands for itself, "*" doesn't."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def formatted_date(ts: Column, style: str) -> Column:
+    """A time without zone as templates write it: rfc3339, iso8601 or a pattern of Spark's."""
+    pattern = "yyyy-MM-dd'T'HH:mm:ss'Z'" if style in ("rfc3339", "iso8601") else style
+    return F.date_format(ts, pattern)
+
+
+def sample_stdev(values: Column) -> Column:
+    """Sample deviation of an array of doubles; null for fewer than two."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+    return F.when(n > 1, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)))
+
+
+def percentile_of(values: Column, percent: float) -> Column:
+    """The percentile (0 to 100) of an array, between its two nearest values; 0 for an empty array."""
+    ordered, place = F.array_sort(values), F.lit(percent / 100.0) * (F.size(values) - 1)
+    low = F.get(ordered, F.floor(place).cast("int"))
+    return F.when(F.size(values) > 0, low + (F.get(ordered, F.ceil(place).cast("int")) - low) * (place - F.floor(place))).otherwise(0.0)

@@ -76,6 +76,29 @@ def size_of(points: DataFrame) -> Column:
     return F.octet_length("name") + tag + value + 8
 
 
+def counts(points: DataFrame) -> DataFrame:
+    """Points with ``n_tags`` and ``n_fields``."""
+    return points.withColumns({"n_tags": F.size("tags").cast("bigint"), "n_fields": F.size("fields").cast("bigint")})
+
+
+def difference(a: Column, b: Column, exclude: tuple[str, ...] = (), with_name: bool = True) -> Column:
+    """Why two points (structs of name, time_ns, tags and fields) aren't the same; "" if they are. Warnings play no part.
+
+    The first reason counts: the name, the time, then of tags and of fields the number of keys, a missing key (the least)
+    or a value that differs.
+    """
+
+    def entries(kind: str) -> Column:
+        x, y = delete(a[kind], *exclude), delete(b[kind], *exclude)
+        keys = F.array_sort(F.map_keys(x))
+        gone = F.get(F.filter(keys, lambda k: ~F.map_contains_key(y, k)), 0)
+        other = F.get(F.filter(keys, lambda k: ~F.try_element_at(x, k).eqNullSafe(F.try_element_at(y, k))), 0)
+        return F.when(F.size(x) != F.size(y), F.concat(F.lit(f"{kind}: "), F.size(x), F.lit(" and "), F.size(y))).when(gone.isNotNull(), F.concat(gone, F.lit(" is missing"))).when(other.isNotNull(), F.concat(other, F.lit(" differs")))
+
+    name = F.when(~a["name"].eqNullSafe(b["name"]), "name") if with_name else F.lit(None).cast("string")
+    return F.coalesce(name, F.when(~a["time_ns"].eqNullSafe(b["time_ns"]), "time"), entries("tags"), entries("fields"), F.lit(""))
+
+
 def same_points(a: DataFrame, b: DataFrame, exclude: tuple[str, ...] = ()) -> bool:
     """Whether two tables hold the same points, apart from the keys in ``exclude``."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -124,6 +125,8 @@ def load_rules(text: str, fmt: str = "toml") -> list[Rule]:
             own = a.get("window", 0)
             window = default if isinstance(own, int | float) and own <= 10 else duration_s(own)
             opts = a.get("quantile_opts", {})
+            if a.get("histogram_opts"):
+                warnings.warn(f"{key}: histogram_opts are read but play no part; buckets are those of the input", stacklevel=2)
             algorithms[key] = Algorithm(a["method"], a.get("source_field", ""), window, opts.get("percentiles", a.get("percentiles", [])), a.get("add_tags", {}))
         if not algorithms:
             raise RuleError("a rule has an algorithm")

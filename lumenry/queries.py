@@ -577,3 +577,43 @@ def builder_group_bucket(spark, sf_dir):
     elif dict(out.dtypes)["bucket"].startswith("struct"):
         bucket = F.floor(epoch_micros(F.col("bucket.start")) / 1_000_000)
     return out.select(bucket.cast("bigint").alias("bucket"), "event_type", F.round("mean", 4).alias("mean"), "n")
+
+
+@query("SELECT event_id, CAST(1 AS BIGINT) AS n_tags, CAST(1 AS BIGINT) AS n_fields, CAST(length(event_type) + length(',user_id=') + length(CAST(user_id AS VARCHAR)) + length(' event_id=') + length(CAST(event_id AS VARCHAR)) + length('i ') + 19 AS BIGINT) AS lp_size FROM events")
+def point_counts_and_line_size(spark, sf_dir):
+    pts = points.counts(to_points(read(spark, sf_dir, "events"), "event_type", "ts", ["user_id"], ["event_id"]))
+    return pts.select(F.col("fields")["event_id"]["i"].alias("event_id"), "n_tags", "n_fields", F.octet_length(line_protocol.encode(pts)).cast("bigint").alias("lp_size"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'name' WHEN event_id % 6 = 1 THEN 'time' WHEN event_id % 6 = 2 THEN 'user_id is missing' WHEN event_id % 6 = 3 THEN 'fields: 1 and 2' WHEN event_id % 6 = 4 THEN 'event_id differs' ELSE '' END AS reason FROM events")
+def point_difference(spark, sf_dir):
+    pts = to_points(read(spark, sf_dir, "events"), "event_type", "ts", ["user_id"], ["event_id"])
+    ident = F.col("fields")["event_id"]["i"]
+    case, number = ident % 6, lambda v: field_value(v.cast("bigint"), "bigint")
+    other = F.struct(
+        F.when(case == 0, "other").otherwise(F.col("name")).alias("name"),
+        (F.col("time_ns") + F.when(case == 1, 1).otherwise(0)).alias("time_ns"),
+        F.when(case == 2, F.create_map(F.lit("user"), F.lit("x"))).otherwise(F.col("tags")).alias("tags"),
+        F.when(case == 3, points.set_entry(F.col("fields"), "more", number(F.lit(1)))).when(case == 4, points.set_entry(F.col("fields"), "event_id", number(F.lit(-1)))).otherwise(F.col("fields")).alias("fields"),
+    )
+    return pts.select(ident.alias("event_id"), points.difference(F.struct("name", "time_ns", "tags", "fields"), other).alias("reason"))
+
+
+@query("SELECT l_orderkey, round(stddev_samp(l_quantity), 4) AS deviation, round(quantile_cont(l_quantity, 0.9), 4) AS p90 FROM lineitem GROUP BY l_orderkey")
+def array_statistics(spark, sf_dir):
+    values = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("v"))  # an order's lines
+    return values.select("l_orderkey", F.round(scalar.sample_stdev(F.col("v")), 4).alias("deviation"), F.round(scalar.percentile_of(F.col("v"), 90), 4).alias("p90"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'span' WHEN l_linenumber = 3 THEN 'peer' ELSE 'resource' END AS db_host FROM lineitem")
+def otlp_db_host(spark, sf_dir):
+    n = F.col("l_linenumber")
+    resource = F.create_map(F.lit("server_address"), F.lit("resource"), F.lit("db_system"), F.when(n == 1, "").otherwise("mysql"))
+    span = F.when(n == 2, F.create_map(F.lit("server_address"), F.lit("span"))).when(n == 3, F.create_map(F.lit("net_peer_name"), F.lit("peer"))).otherwise(F.expr("cast(map() as map<string, string>)"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formats.db_host(resource, span).alias("db_host"))
+
+
+@query("SELECT o_orderkey, 'a+b%26c%2A~' || replace(o_orderpriority, ' ', '+') AS encoded, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS day, CAST(trunc(-o_totalprice) AS BIGINT) AS whole, CAST(ceil(o_totalprice) AS BIGINT) AS up FROM orders")
+def template_texts(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return df.select("o_orderkey", scalar.url_encoded(F.concat(F.lit("a b&c*~"), "o_orderpriority")).alias("encoded"), scalar.formatted_date(F.col("o_orderdate"), "rfc3339").alias("day"), scalar.to_whole(-F.col("o_totalprice")).alias("whole"), scalar.to_whole(F.col("o_totalprice"), "ceil").alias("up"))

@@ -154,8 +154,15 @@ def otlp_metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     return rows.filter("value is not null").select("name", "kind", "field", "tags", "le", "value", "time_ns")
 
 
+def db_host(resource: Column, span: Column) -> Column:
+    """The database's host from the attributes of a resource and a span; null where neither names a database system."""
+    there = lambda m, k: F.nullif(F.try_element_at(m, F.lit(k)), F.lit(""))
+    system = F.coalesce(*(there(m, k) for m in (resource, span) for k in ("db_system", "db_system_name")))
+    return F.when(system.isNotNull(), F.coalesce(*(there(m, k) for m in (span, resource) for k in ("server_address", "net_peer_name"))))
+
+
 def otlp_traces(bodies: DataFrame, column: str = "value") -> DataFrame:
-    """OTLP trace requests in JSON to spans: ids, service, operation, kind, status, start and duration in µs, error_*, tags."""
+    """OTLP trace requests in JSON to spans: ids, service, operation, kind, status, start and duration in µs, db_host, error_*, tags."""
     r = bodies.select(F.explode(F.from_json(column, OTLP_TRACES)["resourceSpans"]).alias("r"))
     s = r.select(attributes(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeSpans").alias("s")).select("ra", F.explode("s.spans").alias("s"))
     raised = F.get(F.filter("s.events", lambda e: e["name"] == "exception"), 0)
@@ -167,7 +174,7 @@ def otlp_traces(bodies: DataFrame, column: str = "value") -> DataFrame:
     source = F.when(F.map_contains_key(tags, "db_system"), "db").when(F.map_contains_key(tags, "messaging_system"), "message_queue").when(F.map_contains_key(tags, "http_method") | F.map_contains_key(tags, "http_request_method"), "web").otherwise("custom")
     return s.select(
         ident(F.col("s.traceId")).alias("trace_id"), ident(F.col("s.spanId")).alias("span_id"), ident(F.col("s.parentSpanId")).alias("parent_id"), F.coalesce(F.try_element_at("ra", F.lit("service_name")), F.lit("unknown_service")).alias("service"),
-        F.col("s.name").alias("operation"), span_kind(F.col("s.kind")).alias("kind"), span_status(F.col("s.status.code")).alias("status"), F.floor(start / 1000).cast("bigint").alias("start"), F.floor((end - start) / 1000).cast("bigint").alias("duration"), source.alias("source_type"), system.alias("system"),
+        F.col("s.name").alias("operation"), span_kind(F.col("s.kind")).alias("kind"), span_status(F.col("s.status.code")).alias("status"), F.floor(start / 1000).cast("bigint").alias("start"), F.floor((end - start) / 1000).cast("bigint").alias("duration"), source.alias("source_type"), system.alias("system"), db_host(F.col("ra"), attributes(F.col("s.attributes"))).alias("db_host"),
         F.try_element_at(error, F.lit("exception_type")).alias("error_type"), F.try_element_at(error, F.lit("exception_message")).alias("error_message"), F.try_element_at(error, F.lit("exception_stacktrace")).alias("error_stack"), tags.alias("tags"), start.alias("time_ns"),
     )
 
@@ -204,4 +211,4 @@ def pprof_files(spark, path: str) -> DataFrame:
     return samples(files)
 
 
-__all__ = ["any_text", "attributes", "collapsed_stacks", "hex_id", "json_points", "merge_first", "otlp_logs", "otlp_metrics", "otlp_traces", "pprof_files", "prometheus", "prometheus_errors", "public_attributes", "span_types", "to_json_point"]
+__all__ = ["any_text", "attributes", "collapsed_stacks", "db_host", "hex_id", "json_points", "merge_first", "otlp_logs", "otlp_metrics", "otlp_traces", "pprof_files", "prometheus", "prometheus_errors", "public_attributes", "span_types", "to_json_point"]

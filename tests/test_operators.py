@@ -280,3 +280,29 @@ def test_protocol_assertions(spark):
 def test_encryption_and_tag_merge(spark):
     row = spark.range(1).select(scalar.decrypt(scalar.encrypt(F.lit("secret é"), "phrase"), "phrase"), scalar.merge_tags(F.create_map(F.lit("a.b"), F.lit("1")), F.create_map(F.lit("a_b"), F.lit("2"), F.lit("c"), F.lit("3")))).first()
     assert row[0] == "secret é" and row[1] == {"a_b": "1", "c": "3"}
+
+
+def test_registered_aggregates_and_unused_options(spark):
+    rules.register_aggregate("Spread", lambda v: F.max(v) - F.min(v))
+    assert rules.Algorithm("spread", "value").method == "spread"
+    with pytest.raises(rules.RuleError):
+        rules.register_aggregate("mean", F.avg)
+    with pytest.raises(rules.RuleError):
+        rules.Algorithm("expo_histogram", "value")
+    text = '[[aggregate_rules]]\n[aggregate_rules.select]\ncategory = "metric"\n[aggregate_rules.algorithms.v]\nmethod = "histogram"\n[aggregate_rules.algorithms.v.histogram_opts]\nbuckets = [1.0]\n'
+    with pytest.warns(UserWarning, match="histogram_opts"):
+        assert rules.load_rules(text)[0].algorithms["v"].method == "histogram"
+
+
+def test_odd_arrays_and_attributes(spark):
+    from lumenry.functions import scalar
+    from lumenry.sources import formats
+
+    one = spark.range(1)
+    none, few = F.expr("cast(array() as array<double>)"), F.expr("array(3D)")
+    assert one.select(scalar.sample_stdev(none), scalar.sample_stdev(few), scalar.percentile_of(none, 50), scalar.percentile_of(few, 99), scalar.to_whole(F.lit(-1.5)), scalar.to_whole(F.lit(-1.5), "floor")).first() == (None, None, 0.0, 3.0, -1, -2)
+    body = '{"resourceMetrics":[{"resource":{"attributes":[{"key":"a.b","value":{"doubleValue":1.5}},{"key":"l","value":{"kvlistValue":{"values":[{"key":"x","value":{"boolValue":true}}]}}},{"key":"t","value":{"boolValue":true}},{"key":"gone","value":{}}]},"scopeMetrics":[{"metrics":[{"name":"m","gauge":{"dataPoints":[{"asInt":"4"}]}}]}]}]}'
+    tags = formats.otlp_metrics(spark.createDataFrame([(body,)], "value string")).first().tags
+    assert tags == {"a_b": "1.500000", "t": "true", "l": '{"values":[{"key":"x","value":{"boolValue":true}}]}'}
+    given = F.from_json(F.lit('{"a":[{"key":"keep","value":{"stringValue":"long text"}},{"key":"drop","value":{"stringValue":"x"}}]}'), f"struct<a: {formats._ATTRS}>")["a"]
+    assert one.select(formats.attributes(given, ("drop",), 4)).first()[0] == {"keep": "long"}
